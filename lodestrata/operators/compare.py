@@ -38,8 +38,8 @@ def plain_text(text: Column) -> Column:
 
 
 def number_key(text: Column, width: int = 6) -> Column:
-    """The number in a key text, padded with zeros to ``width``; other texts keep their trimmed form."""
-    trimmed = F.trim(F.regexp_replace(text, r"^[\s ]+|[\s ]+$", ""))
+    """The number in a key text, padded with zeros to ``width``; other texts keep their form without outer white space and marks."""
+    trimmed = F.regexp_replace(text, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     bare = F.regexp_replace(trimmed, r"^0+(?=\d)", "")
     return F.when(trimmed.rlike(r"^\d+$"), F.when(F.length(bare) < width, F.lpad(bare, width, "0")).otherwise(bare)).otherwise(trimmed)
 
@@ -79,7 +79,8 @@ def mismatched_ranges(a: DataFrame, b: DataFrame, bits: int) -> DataFrame:
     both = a.select("leaf", F.col("n").alias("na"), F.col("check").alias("ca")).join(b.select("leaf", F.col("n").alias("nb"), F.col("check").alias("cb")), "leaf", "full_outer")
     zero = F.lit(0).cast("decimal(38,0)")
     both = both.select("leaf", (F.coalesce("na", F.lit(0)) - F.coalesce("nb", F.lit(0))).alias("dn"), (F.coalesce("ca", zero) - F.coalesce("cb", zero)).cast("decimal(38,0)").alias("dc"))
-    levels = list(range(0, bits, FAN_BITS))[-3:]  # the coarser ones hold at most 2 ** (bits - 12) ranges and almost never agree
+    # beyond three levels above the leaves, a range covers thousands of leaves and hardly ever agrees
+    levels = list(range(0, bits, FAN_BITS))[-3:]
     kept = both
     for level in levels:
         prefix = F.shiftrightunsigned("leaf", bits - level) if level else F.lit(0).cast("long")
