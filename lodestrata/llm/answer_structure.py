@@ -19,7 +19,7 @@ BEGIN_MARK, END_MARK = "<|BEGIN_CODE|>", "<|END_CODE|>"
 NOTATIONS = ("JSON", "XML", "YAML", "TOML", "CSV")
 
 #: White space, zero-width and other characters that show nothing.
-INVISIBLE = " ­͏؜ᅟᅠ឴឵᠎ -‏ -  -⁯　ㅤ︀-️﻿ﾠ"
+INVISIBLE = "\u00a0\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\u3164\ufe00-\ufe0f\ufeff\uffa0"
 _BLANK = re.compile(rf"[\s{INVISIBLE}\x00-\x1f\x7f]+")
 _MARKS = re.compile(r"<\|[A-Z_]{3,20}\|>|(?m:^[ \t>]*(?:`{3,}|~{3,})[ \t]*[\w+-]*[ \t]*$)|`{3,}\w*|~{3,}\w*")
 _FENCE = re.compile(r"(?m)^[ \t]*(`{3,}|~{3,})[ \t]*([\w+-]*)[ \t]*$")
@@ -348,7 +348,7 @@ def read_answer(text: str | None, notation: str | None) -> Answer:
     before, body, after, out.opened, out.terminated = _unwrap(text)
     wanted = (notation or "").strip().upper()
     tries = [wanted] if wanted in NOTATIONS else []
-    stripped = body.lstrip(" \n\t﻿")
+    stripped = body.lstrip(" \n\t\ufeff")
     if stripped[:1] in "{[" and not stripped.startswith("[["):
         tries.insert(0, "JSON")
     elif stripped.startswith("[[") and _TOML_HEAD.match(stripped.split("\n", 1)[0]):

@@ -80,7 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
-_LABEL = r"lower(regexp_replace({}, '^[\s​﻿]+|[\s​﻿]+$', '', 'g'))"
+_LABEL = r"lower(regexp_replace({}, '^[\s\x{{a0}}\x{{2000}}-\x{{200b}}\x{{3000}}\x{{feff}}]+|[\s\x{{a0}}\x{{2000}}-\x{{200b}}\x{{3000}}\x{{feff}}]+$', '', 'g'))"
 
 _HOLDS = (
     "WITH x AS ("
