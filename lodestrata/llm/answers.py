@@ -86,14 +86,29 @@ def _spoken(query: str) -> frozenset[str]:
 
 
 _requested = lru_cache(4096)(requested)
+_QUOTE_SIGN = re.compile(r"(?m)^[ \t]*>+")
+_LOOSE = re.compile(r"\\[nrt]|[\s\"'\\]+")
+
+
+def _squeezed(text: str) -> str:
+    """Lower-case text without white space, quotes, escapes and quotation signs at line starts."""
+    return _LOOSE.sub("", _QUOTE_SIGN.sub("", text)).lower()
+
+
+@lru_cache(4096)
+def _own_data(query: str) -> tuple[str, ...]:
+    """Neighbouring lines of the data that a query carries, squeezed; empty where it carries none."""
+    lines = [x for x in (_squeezed(x) for x in query.strip().split("\n")[1:-1]) if x]
+    return tuple(a + b for a, b in zip(lines, lines[1:])) or tuple(lines)
 
 
 def is_copy(query: str | None, text: str) -> bool:
     """True where the text is the query, or nearly all of it, and nothing else of substance.
 
     The words of the query's instruction (its first line) must be there in order,
-    nearly every word triple of the text must come from the query, and the text
-    must not go on to a second rendering of the query's data.
+    nearly every word triple of the text must come from the query, data that the
+    query carries must stand there in the query's own notation, and the text must
+    not go on to a second rendering of it.
     """
     if not query or not text:
         return False
@@ -112,6 +127,11 @@ def is_copy(query: str | None, text: str) -> bool:
     outside = len(gt - gq)
     if outside > max(8, 0.15 * len(gt)) or len(gt & gq) < 0.6 * len(gq):
         return False
+    data = _own_data(query)
+    if data:
+        whole = _squeezed(text)
+        if sum(x in whole for x in data) < 0.5 * len(data):
+            return False  # the data is there, but in another notation: a converted answer that repeats the task first
     if len(t) <= 1.35 * len(q) + 8:
         return True
     first = tuple(head[:6])

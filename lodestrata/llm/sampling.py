@@ -95,7 +95,7 @@ def round_and_repair(fit: np.ndarray, counts: np.ndarray, codes: np.ndarray, tar
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     """Quotas of the cells of one draw and the report on its targets."""
-    draw, size = pdf["draw_key"].iloc[0], int(pdf["size"].iloc[0] or 0)
+    draw, size = pdf["draw_key"].iloc[0], 0 if pd.isna(pdf["size"].iloc[0]) else int(pdf["size"].iloc[0])
     want = pdf[pdf["cell"].isna()]
     cells = pdf[pdf["cell"].notna()]
     fields = sorted(want["field"].unique())
@@ -106,7 +106,7 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     targets, least = [], []
     for f in fields:
         rows = want[want["field"] == f]
-        targets.append({labels[f][r.label]: float(r.share or 0) * size for r in rows.itertuples() if r.label in labels[f]})
+        targets.append({labels[f][r.label]: (0.0 if pd.isna(r.share) else float(r.share)) * size for r in rows.itertuples() if r.label in labels[f]})
         least.append({labels[f][r.label]: int(r.min_rows) for r in rows.itertuples() if r.label in labels[f]})
     fit = rake(counts, codes, targets, size) if len(cells) else counts
     quota = round_and_repair(fit, counts, codes, targets, least, size) if len(cells) else counts.astype(np.int64)
@@ -114,7 +114,7 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     for r in want.itertuples():
         m = fields.index(r.field)
         mine = codes[:, m] == labels[r.field].get(r.label, -2)
-        need = max(int(r.min_rows), int(round(float(r.share or 0) * size)))
+        need = max(int(r.min_rows), int(round((0.0 if pd.isna(r.share) else float(r.share)) * size)))
         out.append((draw, None, None, None, r.field, r.category, int(r.holds), need, int(quota[mine].sum()) if len(cells) else 0, max(0, need - int(r.holds))))
     return pd.DataFrame(out, columns=["draw_key", "cell", "quota", "weight", "field", "category", "available", "needed", "sampled", "gap"])
 
