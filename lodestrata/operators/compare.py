@@ -17,11 +17,12 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FAN_BITS = 4
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
