@@ -40,6 +40,14 @@ def visible(text: str | None) -> str:
     return _BLANK.sub("", _MARKS.sub("", text or ""))
 
 
+_FIRST_SHOWN = re.compile(_MARKS.pattern + rf"|([^\s{INVISIBLE}\x00-\x1f\x7f])")
+
+
+def shows(text: str | None) -> bool:
+    """True where ``visible`` would leave something; looks no further than the first such character."""
+    return any(m.group(1) for m in _FIRST_SHOWN.finditer(text or ""))
+
+
 @dataclass
 class Answer:
     """What the automaton found.
@@ -190,6 +198,27 @@ def _open_end(value: str) -> bool:
     return not (v[-1:] in "\"'" and len(v) > 1 or _VALUE_DONE.fullmatch(v))
 
 
+_BEGUN_WORD = re.compile(r"t|tr|tru|f|fa|fal|fals|nu|nul|\d{4}-\d?\d?-?\d?")
+_SHAPES = tuple(map(re.compile, (r"true|false", r"\d{4}-\d\d-\d\d", r"[A-Z]{2,4}\d{2,5}", r"-?\d+\.\d+")))
+
+
+def _unlike(value: str, earlier: list[str]) -> bool:
+    """True where an unquoted last value is the beginning of a value: by itself, or held against the same field's earlier values."""
+    v = value.strip()
+    if not v or v[0] in "\"'":
+        return False
+    if _BEGUN_WORD.fullmatch(v):
+        return True
+    if not earlier:
+        return False
+    for shape in _SHAPES:
+        if not shape.fullmatch(v) and all(shape.fullmatch(e) for e in earlier):
+            return True
+    if v.isalpha() and v.islower() and len(v) < 4 and all(e.isalpha() and e.islower() and len(e) >= 4 or " " in e for e in earlier):
+        return True
+    return any(e != v and e.startswith(v) and not v[0].isdigit() for e in earlier)
+
+
 def _keyed(lines: list[str], out: Answer, yaml: bool) -> bool:
     """YAML and TOML lists of records: every record has the keys of the fullest one before it."""
     first = next((i for i, x in enumerate(lines) if (_YAML_FIRST if yaml else _TOML_HEAD).match(x)), None)
@@ -261,6 +290,10 @@ def _keyed(lines: list[str], out: Answer, yaml: bool) -> bool:
             out.complete, out.last_open = True, not out.prose and _open_end(last_value)
             if last_value.strip() in ("", "]", ":"):
                 out.complete, out.reason = False, "unfinished_record"
+            elif out.last_open and not out.terminated:
+                last = out.keys[-1]
+                if _unlike(last_value, [v for k, v in zip(out.keys[:-1], out.values[:-1]) if k == last]):
+                    out.complete, out.reason = False, "unfinished_value"
     before = "\n".join(lines[:first])
     if before.strip():
         out.prose.append(before)
@@ -327,6 +360,8 @@ def _csv(lines: list[str], out: Answer) -> bool:
             out.complete, out.last_open = True, not out.prose and _open_end(last)
             if not last.strip():
                 out.complete, out.reason = False, "unfinished_record"
+            elif out.last_open and not out.terminated and _unlike(last, out.values[want - 1 : -1 : want] if len(out.values) == rows * want else []):
+                out.complete, out.reason = False, "unfinished_value"
     before = "\n".join(lines[:first])
     if before.strip():
         out.prose.append(before)
@@ -339,7 +374,7 @@ def read_answer(text: str | None, notation: str | None) -> Answer:
     Null, empty and invisible texts give an Answer without payload.
     """
     out = Answer()
-    if not visible(text):
+    if not shows(text):
         return out
     text = text.replace("\r\n", "\n")
     sign = _CUT_SIGN.search(text)

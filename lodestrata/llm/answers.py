@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .answer_structure import Answer, read_answer, requested, visible
+from .answer_structure import Answer, read_answer, requested, shows
 from .languages import asked_for, leading, votes
 
 DEFECTS = ("empty", "truncated", "refusal", "copies_query", "other_language")
@@ -177,7 +177,7 @@ def speaks_other(query: str | None, a: Answer, fields: set[str]) -> bool:
 
 def profile(query: str | None, text: str | None, output_type: str | None, input_type: str | None, stop: str | None, tokens: float | None) -> tuple:
     """One row of PROFILE."""
-    if not visible(text):
+    if not shows(text):
         return None, "", "", False, False, False, False, None, True, False, False, False, False
     a = read_answer(text, output_type)
     prose = _prose_only(a)
