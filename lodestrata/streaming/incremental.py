@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def stream(spark: SparkSession, source: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """A stream over the files of a folder, or over one file (read through its folder, as a stream needs one)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    reader = spark.readStream.format(fmt).schema(schema)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.load(source)
+    return reader.option("pathGlobFilter", path.getName()).load(path.getParent().toString())
+
+
 def resume(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, fingerprint: str, transform: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "parquet") -> int:
     """Process what is new in a folder once and append it; the number of new rows.
 
@@ -28,7 +37,7 @@ def resume(spark: SparkSession, source: str, schema: str, target: str, checkpoin
         out.dropDuplicates([key]).write.mode("overwrite").parquet(f"{target}/batch={number}")
         done.append(number)
 
-    q = spark.readStream.format(fmt).schema(schema).load(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream(spark, source, schema, fmt).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return sum(spark.read.parquet(f"{target}/batch={n}").count() for n in done)
 
