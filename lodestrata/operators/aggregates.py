@@ -5,7 +5,7 @@ The rounding order of each summary is part of its definition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import CATEGORY_SIZES, guarded_ratio, parsed_ok, score_or_zero, set_fingerprint
@@ -78,6 +78,10 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+#: Accuracy of the approximate percentile that narrows an exact one.
+_BAND = 100_000
+
+
 def linear_percentile(value: str, p: float) -> Column:
     """Percentile with linear interpolation; 0 for no values."""
     return F.coalesce(F.percentile(value, p), F.lit(0.0))
@@ -85,22 +89,38 @@ def linear_percentile(value: str, p: float) -> Column:
 
 def nearest_percentile(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
     """Value at place round((n - 1) p), half to even, found by counting equal values instead of listing them."""
-    return _ranked(df, group, value, lambda n: F.rint((n - 1) * p), name)
+    return _ranked(df, group, value, p, lambda n: F.rint((n - 1) * p), name)
 
 
 def floor_percentile(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
     """Value at place floor((n - 1) p)."""
-    return _ranked(df, group, value, lambda n: F.floor((n - 1) * F.lit(p)), name)
+    return _ranked(df, group, value, p, lambda n: F.floor((n - 1) * F.lit(p)), name)
 
 
-def _ranked(df: DataFrame, group: list[str], value: str, place, name: str) -> DataFrame:
-    from pyspark.sql import Window
+def _ranked(df: DataFrame, group: list[str], value: str, p: float, place, name: str) -> DataFrame:
+    """The value at an exact place of each group's sorted values.
 
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*group).orderBy(value)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
+    In groups of more than a million rows an approximate band around the percentile
+    is found first, and only the equal values within it are ranked, so no task sorts
+    a large group.
+    """
+    margin = 2.0 / _BAND
+    rows = df.filter(F.col(value).isNotNull()).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(value).alias("_v"))
+    keys = [f"_g{i}" for i in range(len(group))]
+    band = rows.groupBy(*keys).agg(F.percentile_approx("_v", [max(0.0, p - margin), min(1.0, p + margin)], _BAND).alias("_band"), F.count("*").alias("_all"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    large = F.col("_all") > 10 * _BAND
+    on = None
+    for k in keys:
+        same = F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}"))
+        on = same if on is None else on & same
+    near = rows.alias("r").join(band.alias("b"), on).select(*[F.col(f"r.{k}").alias(k) for k in keys], "_v", F.when(large, F.col("_band")[0]).otherwise(F.col("_min")).alias("_lo"), F.when(large, F.col("_band")[1]).otherwise(F.col("_max")).alias("_hi"), "_all")
+    inside = F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v"))
+    counts = near.filter(F.col("_v") <= F.col("_hi")).groupBy(*keys, "_all", inside.alias("_v")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    ranked = counts.withColumn("_upto", F.sum("_n").over(w))
     want = place(F.col("_all"))
-    return ranked.filter((F.col("_upto") > want) & (F.col("_upto") - F.col("_n") <= want)).select(*group, F.col(value).alias(name))
+    found = ranked.filter(F.col("_v").isNotNull() & (F.col("_upto") > want) & (F.col("_upto") - F.col("_n") <= want))
+    return found.select(*[F.col(k).alias(g) for k, g in zip(keys, group)], F.col("_v").alias(name))
 
 
 def config_matrix(df: DataFrame, config: list[str], task: str, render: str, path: str, score: str, sizes: str | None = None) -> DataFrame:

@@ -108,7 +108,7 @@ def compare_copies(left: DataFrame, right: DataFrame, keys: dict[str, str | None
     keys as well.  Texts are compared as ``plain_text``, numbers within the
     field's tolerance.
     """
-    made = {k: number_key(F.col(k)) if how == "number" else F.col(k) for k, how in keys.items()}
+    made = {f"k_{n}": number_key(F.col(k)) if how == "number" else F.col(k) for n, (k, how) in enumerate(keys.items())}
     names = list(made)
     size = max(left.count(), right.count(), 1)
     bits = min(40, FAN_BITS * max(0, math.ceil(math.log2(max(size / rows_per_range, 1)) / FAN_BITS)))
@@ -128,5 +128,5 @@ def compare_copies(left: DataFrame, right: DataFrame, keys: dict[str, str | None
             x, y = F.col(f"a{end}_{i}"), F.col(f"b{end}_{i}")
             same = same & (x.eqNullSafe(y) if f.tolerance is None else x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= f.tolerance, F.lit(False)))
         kinds.append(F.when(both & ~same, F.lit(f.name)))
-    picked = [F.coalesce(F.col(f"x.{k}"), F.col(f"y.{k}")).alias(k) for k in names]
+    picked = [F.coalesce(F.col(f"x.{k}"), F.col(f"y.{k}")).alias(own) for k, own in zip(names, keys)]
     return joined.select(*picked, F.explode(F.array_compact(F.array(*kinds))).alias("diff_kind"))

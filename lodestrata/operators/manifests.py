@@ -57,9 +57,24 @@ def first_per(df: DataFrame, group: str, order: str) -> DataFrame:
     return df.groupBy(group).agg(F.min_by(F.struct("*"), order).alias("_r")).select("_r.*")
 
 
-def runs(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Runs of equal neighbours: (group, run_no, value, first, last, length) by the first order column."""
-    w = Window.partitionBy(group).orderBy(*order)
-    flagged = df.withColumn("_new", F.when(F.lag(F.struct(value)).over(w).isNull() | ~F.lag(value).over(w).eqNullSafe(F.col(value)), 1).otherwise(0))
-    numbered = flagged.withColumn("run_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def runs(df: DataFrame, group: str, order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """Runs of equal neighbours: (group, run_no, value, first, last, length) by the first order column.
+
+    bucket: a coarsening of the order (a day of a timestamp); rows are then sorted
+    within (group, bucket) only and joined to the bucket before by its last value
+    and its number of runs, so a hot group is never sorted by one task.
+    """
+    rows = df.withColumn("_b", F.lit(0) if bucket is None else bucket)
+    w = Window.partitionBy(group, "_b").orderBy(*order)
+    rows = rows.withColumn("_prev", F.lag(F.struct(value)).over(w))
+    last = rows.groupBy(group, "_b").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    across = Window.partitionBy(group).orderBy("_b")
+    before = last.select(F.col(group).alias("_g"), F.col("_b").alias("_bb"), F.lag("_last").over(across).alias("_before"))
+    joined = rows.join(before, F.col(group).eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_bb")))
+    prev = F.coalesce("_prev", "_before")
+    flagged = joined.withColumn("_new", F.when(prev.isNull() | ~prev[value].eqNullSafe(F.col(value)), 1).otherwise(0))
+    local = flagged.withColumn("_local", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = flagged.groupBy(group, "_b").agg(F.sum("_new").alias("_n"))
+    prefix = starts.select(F.col(group).alias("_g2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    numbered = local.join(prefix, F.col(group).eqNullSafe(F.col("_g2")) & F.col("_b").eqNullSafe(F.col("_b2"))).withColumn("run_no", F.col("_offset") + F.col("_local"))
     return numbered.groupBy(group, "run_no").agg(F.first(value).alias(value), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("length"))

@@ -135,9 +135,9 @@ def lookup(df: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataF
 
 
 def same_order(df: DataFrame, group: str, key: str, ordinal: str) -> DataFrame:
-    """(group, rows, order_hash): two groups list the same keys in the same order iff both agree.
+    """(group, rows, order_hash): two groups list the same keys at the same ordinals iff both agree.
 
-    The hash is a sum of per-row hashes of (rank, key), so no list is built.
+    The hash is a sum of per-row hashes of (ordinal, key), so no list is built and
+    no group is sorted; the ordinals must be contiguous (see ``contiguous``).
     """
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(ordinal)))
-    return ranked.groupBy(group).agg(F.count("*").alias("rows"), F.sum(F.xxhash64("_r", key).cast("decimal(38,0)")).cast("string").alias("order_hash"))
+    return df.groupBy(group).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(F.col(ordinal).cast("long"), key).cast("decimal(38,0)")).cast("string").alias("order_hash"))

@@ -76,11 +76,15 @@ def oracle_sql() -> dict[str, str]:
     lines = r"regexp_replace(regexp_replace(regexp_replace({x}, '\r\n?', chr(10), 'g'), '[ \t]+' || chr(10), chr(10), 'g'), '[\s]+$', '')"
     a, b = (s.replace("query AS query", f"nfc_normalize({lines.format(x='query')}) AS query") for s in (a, b))
     tasks = f"SELECT trace_id, {_E} FROM traces"
+    links = "CAST(i AS INTEGER) AS ord_1, CAST(j AS INTEGER) AS ord_2"
     positions = "SELECT trace_id, i, unnest(t.positions) AS p, unnest(range(len(t.positions))) AS j FROM x"
     return {
         "p3_found": f"WITH a AS ({a}), b AS ({b}), j AS (SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.task_id, b.task_id) AS task_id, a.run_id IS NULL AS na, b.run_id IS NULL AS nb, a.query IS DISTINCT FROM b.query AS dq, a.generation_protocol IS DISTINCT FROM b.generation_protocol AS dp, NOT (coalesce(abs(a.final_eval_score - b.final_eval_score) <= 1e-6, false) OR (a.final_eval_score IS NULL AND b.final_eval_score IS NULL)) AS ds FROM a FULL JOIN b ON a.run_id = b.run_id AND a.task_id = b.task_id) "
         "SELECT DISTINCT * FROM (SELECT run_id, task_id, 'missing_in_copy' AS diff_kind FROM j WHERE nb UNION ALL SELECT run_id, task_id, 'missing_in_evaluation' FROM j WHERE na UNION ALL SELECT run_id, task_id, 'query' FROM j WHERE dq AND NOT na AND NOT nb UNION ALL SELECT run_id, task_id, 'generation_protocol' FROM j WHERE dp AND NOT na AND NOT nb UNION ALL SELECT run_id, task_id, 'final_eval_score' FROM j WHERE ds AND NOT na AND NOT nb)",
         "p5_found": f"WITH x AS ({tasks}), y AS ({positions}), f AS (SELECT trace_id, i, unnest(t.frozen_token_ids) AS p, unnest(range(len(t.frozen_token_ids))) AS j FROM x), z AS (SELECT trace_id, i, j, unnest(p.top_tokens) AS k, unnest(range(len(p.top_tokens))) AS l FROM y) "
         "SELECT trace_id, 'task' AS node_kind, CAST(i AS INTEGER) AS task_ord, -1 AS item_ord, -1 AS token_ord FROM x WHERE t IS NOT NULL UNION ALL SELECT trace_id, 'position', CAST(i AS INTEGER), CAST(j AS INTEGER), -1 FROM y WHERE p IS NOT NULL UNION ALL SELECT trace_id, 'frozen_id', CAST(i AS INTEGER), CAST(j AS INTEGER), -1 FROM f WHERE p IS NOT NULL UNION ALL SELECT trace_id, 'top_token', CAST(i AS INTEGER), CAST(j AS INTEGER), CAST(l AS INTEGER) FROM z WHERE k IS NOT NULL",
+        "p5_tasks": f"WITH x AS ({tasks}) SELECT trace_id, CAST(i AS INTEGER) AS ord_1, t.task_id AS v_task_id, t.task_name AS v_task_name, t.input_type AS v_input_type, t.output_type AS v_output_type, t.prompt_tokens AS v_prompt_tokens, t.top1_disagreements_from_fp16 AS v_top1_disagreements_from_fp16, t.top1_disagreement_rate AS v_top1_disagreement_rate, t.structural_positions AS v_structural_positions FROM x WHERE t IS NOT NULL",
+        "p5_positions": f"WITH x AS ({tasks}), y AS ({positions}) SELECT trace_id, {links}, p.prediction_index AS v_prediction_index, p.target_token_id AS v_target_token_id, p.target_token AS v_target_token, p.target_token_kind AS v_target_token_kind, p.target_log_probability AS v_target_log_probability, p.top1_token_id AS v_top1_token_id, p.top1_token AS v_top1_token FROM y WHERE p IS NOT NULL",
+        "p5_top_tokens": f"WITH x AS ({tasks}), y AS ({positions}), z AS (SELECT trace_id, i, j, unnest(p.top_tokens) AS k, unnest(range(len(p.top_tokens))) AS l FROM y) SELECT trace_id, {links}, CAST(l AS INTEGER) AS ord_3, k.token_id AS v_token_id, k.token AS v_token, k.log_probability AS v_log_probability FROM z WHERE k IS NOT NULL",
         "p5_frozen_ids": f"WITH x AS ({tasks}), f AS (SELECT trace_id, i, unnest(t.frozen_token_ids) AS p, unnest(range(len(t.frozen_token_ids))) AS j FROM x) SELECT trace_id, CAST(i AS INTEGER) AS ord_1, CAST(j AS INTEGER) AS ord_2, p AS v_value FROM f WHERE p IS NOT NULL",
     }

@@ -337,7 +337,7 @@ def token_kind_counts(spark, sf_dir):
 @query("""WITH f AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NULL OR lag(event_type) OVER w <> event_type THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run_no FROM f)
  SELECT user_id, CAST(run_no AS BIGINT) AS run_no, any_value(event_type) AS event_type, min(ts) AS first, max(ts) AS last, count(*) AS length FROM r GROUP BY user_id, run_no""")
 def run_length_segments(spark, sf_dir):
-    return M.runs(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").withColumn("run_no", F.col("run_no").cast("long"))
+    return M.runs(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", F.date_trunc("day", "ts")).withColumn("run_no", F.col("run_no").cast("long"))
 
 
 @query()

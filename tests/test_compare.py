@@ -34,6 +34,12 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert diff(spark, [], []) == []
 
 
+def test_clashing_column_names(spark):
+    a, b = (spark.createDataFrame([(1, "1", q, 0.5)], "leaf long, term string, a string, n double") for q in "xy")
+    out = compare_copies(a, b, {"leaf": None, "term": "number"}, [Field("a"), Field("n", 1e-6)], "l", "r")
+    assert [tuple(r) for r in out.collect()] == [(1, "000001", "a")] and out.columns == ["leaf", "term", "diff_kind"]
+
+
 def test_several_versions_compare_by_extremes(spark):
     a = [(1, "1", "a", 0.1), (1, "1", "b", 0.9)]
     assert diff(spark, a, list(reversed(a))) == []
