@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 SUPPORTED_BITS = (2, 4, 8, 16)
 
 
@@ -24,7 +26,7 @@ def symmetric(values: Column, bits: int, eps: float = 1e-8) -> Column:
         return values
     top = float(2 ** (bits - 1) - 1)
     scale = F.greatest(F.array_max(F.transform(values, lambda x: F.abs(x.cast("double")))), F.lit(eps)) / top
-    return F.transform(values, lambda x: F.least(F.greatest(F.rint(x / scale), F.lit(-top)), F.lit(top)) * scale)
+    return let(scale, lambda s: F.transform(values, lambda x: F.least(F.greatest(F.rint(x / s), F.lit(-top)), F.lit(top)) * s))
 
 
 def symmetric_recent(values: Column, bits: int, residual: int, protected: Column | None = None, high_bits: int = 8) -> Column:
@@ -59,9 +61,13 @@ def affine(group: Column, bits: int) -> Column:
         raise ValueError(f"bits must be one of {SUPPORTED_BITS}")
     top = float(2**bits - 1)
     low, high = F.array_min(group).cast("double"), F.array_max(group).cast("double")
-    scale = F.when(high > low, (high - low) / top).otherwise(1.0)
-    codes = F.transform(group, lambda x: F.least(F.greatest(F.rint((x.cast("double") - low) / scale), F.lit(0.0)), F.lit(top)).cast("int"))
-    return F.struct(codes.alias("codes"), scale.alias("scale"), low.alias("minimum"))
+    ends = F.struct(F.when(high > low, (high - low) / top).otherwise(1.0).alias("scale"), low.alias("minimum"))
+
+    def coded(e: Column) -> Column:
+        codes = F.transform(group, lambda x: F.least(F.greatest(F.rint((x.cast("double") - e["minimum"]) / e["scale"]), F.lit(0.0)), F.lit(top)).cast("int"))
+        return F.struct(codes.alias("codes"), e["scale"].alias("scale"), e["minimum"].alias("minimum"))
+
+    return let(ends, coded)
 
 
 def affine_blocks(values: Column, bits: int, group_size: int) -> Column:
@@ -89,7 +95,7 @@ def packed(codes: Column, bits: int) -> Column:
 
 
 def unpacked(data: Column, bits: int, count: Column) -> Column:
-    """Codes of packed bytes."""
+    """Codes of packed bytes; ``data`` should be a column or a bound value."""
     if bits == 16:
         pairs = F.sequence(F.lit(0), F.greatest((F.size(data) / 2).cast("int") - 1, F.lit(0)))
         return F.transform(pairs, lambda i: F.element_at(data, i * 2 + 1) + F.element_at(data, i * 2 + 2) * 256)
@@ -112,9 +118,11 @@ def top_with_margin(scores: Column, ids: Column, k: int) -> Column:
 
 def log_softmax(scores: Column) -> Column:
     """Log probabilities of scores, safe for large ones."""
-    high = F.array_max(scores).cast("double")
-    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - high))
-    return F.transform(scores, lambda x: x.cast("double") - high - F.log(total))
+    def shifted(high: Column) -> Column:
+        total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - high))
+        return let(high + F.log(total), lambda norm: F.transform(scores, lambda x: x.cast("double") - norm))
+
+    return let(F.array_max(scores).cast("double"), shifted)
 
 
 def first_within_budget(costs: Column, budget: Column) -> Column:
@@ -149,4 +157,4 @@ def token_budget_mask(candidates: Column, scores: Column, order: str, base: int,
     else:
         raise ValueError("order is prefix, recent or score")
     taken = F.transform(F.slice(F.array_sort(key), F.lit(1), buys.cast("int")), lambda x: x["i"])
-    return F.transform(candidates, lambda _, i: F.array_contains(taken, i))
+    return let(taken, lambda t: F.transform(candidates, lambda _, i: F.array_contains(t, i)))

@@ -6,6 +6,7 @@ generation; nulls follow the rule given in each docstring.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,15 @@ SAME_SCORE = 1e-12
 _EDGE_SPACE = r"^[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row.
+
+    A lambda body evaluates everything it names again for every element; what does
+    not depend on the element is bound outside with this.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def stripped(text: Column) -> Column:
     """Text without outer white space of any kind (``trim`` only knows the blank)."""
     return F.regexp_replace(text, _EDGE_SPACE, "")
@@ -255,8 +265,8 @@ def path_terms(path: Column) -> Column:
 
 def fuzzy_hit(piece: Column, terms: Column) -> Column:
     """True where a normalised piece equals, holds or lies within one of the terms."""
-    p = F.lower(F.regexp_replace(F.coalesce(piece, F.lit("")), r"[^A-Za-z0-9_]+", ""))
-    return (F.length(p) >= 2) & F.exists(terms, lambda t: F.contains(p, t) | F.contains(t, p))
+    bare = F.lower(F.regexp_replace(F.coalesce(piece, F.lit("")), r"[^A-Za-z0-9_]+", ""))
+    return let(bare, lambda p: (F.length(p) >= 2) & F.exists(terms, lambda t: F.contains(p, t) | F.contains(t, p)))
 
 
 def token_kind(token: Column) -> Column:

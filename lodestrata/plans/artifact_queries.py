@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import columns as C
 from ..functions import parsers as X
+from ..operators import budgets as B
 from ..operators import pairing as P
 from ..operators import traces as T
 from ..sources import files, sinks
@@ -177,6 +178,45 @@ def residual_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(F.aggregate(F.slice("q", 61, 4), F.lit(0.0), lambda a, x: a + x), 6).alias("recent_sum"))
 
 
+SHAPE = B.StorageShape(layers=28, heads=4, dim=128, group=32, residual=128, key_bits=4, value_bits=4, protected_bits=8)
+
+
+@query("SELECT doc_id, CASE WHEN n > 0 THEN (n - n % 128) // 32 * (28 * 4 * 32 * 128 * 4 // 8 + 2 * 28 * 4 * 128 * 2) + greatest(n - 128, 0) * (28 * 4 * 128 * 4 // 8 + 2 * 28 * 4 * 4 * 2) + (2 * n - (n - n % 128) - greatest(n - 128, 0)) * 28 * 4 * 128 * 2 ELSE 0 END AS bytes FROM (SELECT doc_id, coalesce(n_chars, 0) AS n FROM documents)")
+def stored_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed bytes of a cache as long as each text."""
+    return _t(spark, sf_dir, "documents").select("doc_id", B.stored_bytes(SHAPE, F.coalesce("n_chars", F.lit(0))).alias("bytes"))
+
+
+@query()
+def byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places protected under a byte budget, by group-aware greedy selection."""
+    shape = B.StorageShape(layers=1, heads=1, dim=32, group=8, residual=8, key_bits=4, value_bits=4, protected_bits=8)
+    e = _t(spark, sf_dir, "embeddings")
+    mask = B.byte_budget_mask(shape, F.transform("embedding", lambda v: v > 0), "score", 8.0, F.col("embedding"))
+    return e.select("vec_id", F.size(F.filter(mask, lambda m: m)).alias("protected"))
+
+
+@query()
+def budget_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token budget over the tasks' queries, summarised."""
+    return B.budget_summary(B.budget_per_task(_t(spark, sf_dir, "tasks"), "task_id", "query", "raw_output_metric", 4, 8, 64, 6.5, "score"))
+
+
+@query("""SELECT 'K=' || coalesce(CAST(key_bits AS VARCHAR), 'none') || ',V=' || coalesce(CAST(value_bits AS VARCHAR), 'none') AS setting, count(*) AS n_rows, round(coalesce(avg(CASE WHEN render_score IS NOT NULL THEN CASE WHEN render_score = 1 THEN 1.0 ELSE 0.0 END END), 0), 6) AS parse_share,
+ round(coalesce(avg(CASE WHEN render_score IS NOT NULL THEN coalesce(key_validation_score, 0) END), 0), 6) AS mean_path, round(coalesce(avg(CASE WHEN render_score IS NOT NULL THEN coalesce(final_eval_score, 0) END), 0), 6) AS mean_score, round(avg(CASE WHEN stop_reason = 'max_new_tokens' THEN 1.0 ELSE 0.0 END), 6) AS limit_share FROM evaluation GROUP BY 1""")
+def setting_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "evaluation")
+    setting = F.concat(F.lit("K="), F.coalesce(F.col("key_bits").cast("string"), F.lit("none")), F.lit(",V="), F.coalesce(F.col("value_bits").cast("string"), F.lit("none")))
+    return B.setting_summary(e, setting, "render_score", "key_validation_score", "final_eval_score", F.col("stop_reason") == "max_new_tokens")
+
+
+@query("""WITH d AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings), s AS (SELECT label, i, greatest(max(abs(x::DOUBLE)), 1e-8) / 7.0 AS sc FROM d GROUP BY 1, 2) SELECT vec_id, round(sum(abs(least(greatest(round_even(x::DOUBLE / sc, 0), -7.0), 7.0) * sc)), 6) AS total FROM d JOIN s USING (label, i) GROUP BY 1""")
+def channel_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetric quantisation with one scale per channel of each label's vectors."""
+    q = B.quantised_cache(_t(spark, sf_dir, "embeddings"), ["label"], "embedding", 4, "channel")
+    return q.select("vec_id", F.round(F.aggregate("quantised", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("total"))
+
+
 # --- traces -----------------------------------------------------------------------------
 
 

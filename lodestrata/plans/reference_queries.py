@@ -469,8 +469,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = cents.agg(F.collect_list(F.struct(F.col("label").alias("l"), "c")).alias("book")).withColumn("one", F.lit(1))
 
     def nearest(v):
-        dist = lambda c: F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-        return F.array_min(F.transform("book", lambda b: F.struct(dist(b["c"]).alias("d"), b["l"].alias("l"))))["l"]
+        dist = lambda x, c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+        return C.let(v, lambda x: F.array_min(F.transform("book", lambda b: F.struct(dist(x, b["c"]).alias("d"), b["l"].alias("l"))))["l"])
 
     full = F.transform("embedding", lambda x: x.cast("double"))
     rows = e.withColumn("one", F.lit(1)).join(F.broadcast(book), "one")
