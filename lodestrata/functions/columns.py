@@ -18,7 +18,9 @@ BEGIN_MARK, END_MARK, FENCE = "<|BEGIN_CODE|>", "<|END_CODE|>", "```"
 CATEGORY_SIZES = {"T-generation": 250, "T-conversion": 700, "V-generation": 650, "V-conversion": 435}
 # Fixed value: two scores this close are the same.
 SAME_SCORE = 1e-12
-_EDGE_SPACE = r"^[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
+_SPACE = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Possessive, and the trailing run is tried at its beginning only, so inner white space costs nothing.
+_EDGE_SPACE = rf"^[{_SPACE}]++|(?<![{_SPACE}])[{_SPACE}]++\z"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -167,18 +169,24 @@ def official_code(text: Column) -> Column:
     t = F.replace(t, F.lit("<think>\n\n</think>\n\n"), F.lit(""))
     fence = r"(?s)```[^\n]*\n(.*?)(?:```|\z)"
     marked = r"(?is)<\|BEGIN_CODE\|>[ \t]*\n?(.*?)(?:<\|END_CODE\|>|\z)"
-    return stripped(F.when(t.rlike(fence), F.regexp_extract(t, fence, 1)).when(t.rlike(marked), F.regexp_extract(t, marked, 1)).otherwise(t))
+    clean = F.when(F.contains(t, F.lit(FENCE)) & t.rlike(fence), F.regexp_extract(t, fence, 1)).when(t.rlike(r"(?i)<\|BEGIN_CODE") & t.rlike(marked), F.regexp_extract(t, marked, 1)).otherwise(t)
+    return stripped(clean)
 
 
 def json_candidate(text: Column) -> Column:
     """The likeliest JSON in a text: a fenced block if there is one, then from the first opening to the last closing bracket."""
     t = F.coalesce(text, F.lit(""))
     fence = r"(?is)```(?:json)?\s*(.*?)```"
-    inner = F.when(t.rlike(fence), stripped(F.regexp_extract(t, fence, 1))).otherwise(t)
-    start = F.least(F.nullif(F.instr(inner, "{"), F.lit(0)), F.nullif(F.instr(inner, "["), F.lit(0)))
-    stop = F.greatest(_last_instr(inner, "}"), _last_instr(inner, "]"))
-    cut = F.when(stop > start, F.substring(inner, start, stop - start + 1)).otherwise(F.substring(inner, start, F.length(inner)))
-    return stripped(F.when(start.isNull(), inner).otherwise(cut))
+    fenced = F.regexp_extract(t, fence, 1)
+    inner = F.when(F.contains(t, F.lit(FENCE)) & t.rlike(fence), stripped(fenced)).otherwise(t)
+
+    def cut(x: Column) -> Column:
+        start = F.least(F.nullif(F.instr(x["v"], "{"), F.lit(0)), F.nullif(F.instr(x["v"], "["), F.lit(0)))
+        stop = F.greatest(_last_instr(x["v"], "}"), _last_instr(x["v"], "]"))
+        ends = F.struct(x["v"].alias("v"), start.alias("start"), stop.alias("stop"))
+        return let(ends, lambda e: stripped(F.when(e["start"].isNull(), e["v"]).when(e["stop"] > e["start"], F.substring(e["v"], e["start"], e["stop"] - e["start"] + 1)).otherwise(F.substring(e["v"], e["start"], F.length(e["v"])))))
+
+    return let(F.struct(inner.alias("v")), cut)
 
 
 def first_braces(text: Column) -> Column:
@@ -289,12 +297,15 @@ def tail_repeats(tokens: Column, n: int) -> Column:
     """How many times the last ``n`` tokens follow one another at the end; 1 for short arrays, empty ones and n <= 0."""
     if n <= 0:
         return F.lit(1)
-    size = F.size(tokens)
-    tail = F.slice(tokens, -n, n)
-    steps = F.sequence(F.lit(1), F.greatest(F.floor(size / n), F.lit(1)).cast("int"))
-    same = F.transform(steps, lambda k: (k * n <= size) & F.slice(tokens, F.greatest(size - k * n + 1, F.lit(1)).cast("int"), F.lit(n)).eqNullSafe(tail))
-    first_miss = F.array_position(F.transform(same, lambda x: F.when(x, 1).otherwise(0)), 0)
-    return F.when(size < 2 * n, 1).otherwise(F.when(first_miss == 0, F.size(same)).otherwise(first_miss - 1)).cast("int")
+
+    def count(t: Column) -> Column:
+        size = F.size(t["all"])
+        steps = F.sequence(F.lit(1), F.greatest(F.floor(size / n), F.lit(1)).cast("int"))
+        same = F.transform(steps, lambda k: F.when(F.slice(t["all"], F.greatest(size - k * n + 1, F.lit(1)).cast("int"), F.lit(n)).eqNullSafe(t["tail"]), 1).otherwise(0))
+        return let(same, lambda s: F.when(F.array_position(s, 0) == 0, F.size(s)).otherwise(F.array_position(s, 0) - 1)).cast("int")
+
+    found = let(F.struct(tokens.alias("all"), F.slice(tokens, -n, n).alias("tail")), count)
+    return F.when(F.size(tokens) < 2 * n, 1).otherwise(found).cast("int")
 
 
 def task_list(raw: Column) -> Column:

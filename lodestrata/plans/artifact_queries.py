@@ -16,7 +16,7 @@ from ..operators import traces as T
 from ..sources import files, sinks
 from ..staging import shared_dir
 from ..streaming import incremental as I
-from .reference_queries import LATEST, Query, _latest, _t
+from .reference_queries import LATEST, Query, _latest, _t, decimal_rounds
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -28,7 +28,7 @@ def query(sql: str | None = None):
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            _SQL[f.__name__] = decimal_rounds(sql)
         return f
 
     return add

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +26,30 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def decimal_rounds(sql: str) -> str:
+    """``round(x, n)`` of an SQL text on decimals, as Spark rounds: ties on the printed number, not on the binary one."""
+    out, at = [], 0
+    for m in re.finditer(r"(?<![\w.])round\(", sql):
+        if m.start() < at:
+            continue
+        depth, comma, i = 1, 0, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            if sql[i] == "," and depth == 1:
+                comma = i
+            i += 1
+        out += [sql[at : m.start()], f"CAST(round(CAST({decimal_rounds(sql[m.end() : comma])} AS DECIMAL(38, 15)){sql[comma:i]} AS DOUBLE)"]
+        at = i
+    return "".join([*out, sql[at:]])
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its SQL."""
 
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            _SQL[f.__name__] = decimal_rounds(sql)
         return f
 
     return add
