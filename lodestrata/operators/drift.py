@@ -133,6 +133,33 @@ def field_changes(rows: DataFrame, series: str = "series_id", seq: str = "file_s
     return out.withColumnsRenamed({"series_key": series, "seq_key": seq})
 
 
+def renamed_to(changes: DataFrame, target: dict[str, str], known: dict[str, str], most_names: int = 10_000) -> dict[str, str]:
+    """``known`` names of target fields, and those that renames tie to exactly one target field: {name: target field}.
+
+    changes: as ``field_changes`` gives them.  Only distinct name pairs reach the
+    driver; they are bounded by the fields that exist, and more than ``most_names``
+    of them are an error.
+    """
+    pairs = changes.filter("change_kind = 'renamed'").select("field_name", "detail").distinct().limit(most_names + 1).collect()
+    if len(pairs) > most_names:
+        raise ValueError(f"more than {most_names} distinct renames")
+    near: dict[str, set[str]] = {}
+    for a, b in [*pairs, *known.items()]:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out: dict[str, set[str]] = {}
+    for field in target:
+        seen, todo = {field}, [field]
+        while todo:
+            for other in near.get(todo.pop(), ()):
+                if other not in seen:
+                    seen.add(other)
+                    todo.append(other)
+        for name in seen - {field}:
+            out.setdefault(name, set()).add(field)
+    return {name: min(fields) for name, fields in out.items() if len(fields) == 1 and name not in target} | known
+
+
 def _typed(value: Column, kind: str) -> Column:
     """The value as ``kind``, or null where it does not fit: no object or array becomes a scalar, no number loses its fraction."""
     have = json_kind(value)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRUCTURAL = ("structural_marker", "control_marker")
-HEADER = ("model_name_or_path", "model_revision", "kivi_commit", "seed", "trace_method", "causal_boundary")
 
 
 def positions(traces: DataFrame) -> DataFrame:
@@ -31,10 +30,10 @@ def disagreements(pos: DataFrame, *groups: str) -> DataFrame:
     return sums.withColumn("disagreement_share", ratio(F.col("disagreements"), F.col("positions"))).withColumn("structural_share", ratio(F.col("structural_disagreements"), F.col("structural_positions")))
 
 
-def header_violations(base: DataFrame, cand: DataFrame) -> DataFrame:
+def header_violations(base: DataFrame, cand: DataFrame, fields: list[str]) -> DataFrame:
     """(field, base_values, cand_values) of header fields whose sets of values differ between two sides."""
     out = None
-    for f in HEADER:
+    for f in fields:
         b, c = (df.agg(F.array_sort(F.collect_set(F.coalesce(F.col(f).cast("string"), F.lit("null")))).alias(n)) for df, n in ((base, "b"), (cand, "c")))
         one = b.select(F.lit(f).alias("field"), "b").join(c.select(F.lit(f).alias("field"), "c"), "field").filter("b <> c").select("field", F.col("b").alias("base_values"), F.col("c").alias("cand_values"))
         out = one if out is None else out.unionByName(one)

@@ -230,8 +230,10 @@ def aligned_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trace_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header fields that must agree between two conditions: all scalars but keys, widths and times."""
     t = _t(spark, sf_dir, "traces")
-    return T.header_violations(t.filter("run_condition = 'fp16'"), t.filter("run_condition = 'q4'"))
+    fields = [c for c, kind in t.dtypes if kind in ("string", "int", "bigint") and c not in ("trace_id", "run_condition", "k_bits", "v_bits")]
+    return T.header_violations(t.filter("run_condition = 'fp16'"), t.filter("run_condition = 'q4'"), fields)
 
 
 # --- sources, sinks and streams -------------------------------------------------------------

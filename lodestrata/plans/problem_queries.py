@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compare import Field, compare_copies
-from ..operators.drift import field_changes, ingest
+from ..operators.drift import field_changes, ingest, renamed_to
 from ..operators.shred import shred_links, shred_tables
 
-# The target table of the result rows and the names its fields go by.
+# The target table of the result rows and names that its fields are known by; renames add further ones.
 RESULT_FIELDS = {
     "task_id": "string", "input_type": "string", "output_type": "string", "cache_algorithm_revision": "string", "protection_signal_source": "string",
-    "protection_budget_model": "string", "key_bits": "double", "value_bits": "double", "residual_length": "double", "official_prompt": "boolean", "structeval_final_eval_score": "double",
+    "protection_budget_model": "string", "key_bits": "double", "value_bits": "double", "residual_length": "double", "official_prompt": "boolean", "final_score": "double",
 }
 RESULT_NAMES = {
     "cacheAlgorithmRevision": "cache_algorithm_revision", "cache_algorithm_version": "cache_algorithm_revision", "cache_revision": "cache_algorithm_revision", "algo_rev": "cache_algorithm_revision",
@@ -22,7 +22,7 @@ RESULT_NAMES = {
     "protectionBudgetModel": "protection_budget_model", "budget_model": "protection_budget_model", "budget_kind": "protection_budget_model", "budget_accounting": "protection_budget_model",
     "k_bits": "key_bits", "kbits": "key_bits", "keyBits": "key_bits", "key_precision": "key_bits",
     "residual_len": "residual_length", "recentWindow": "residual_length", "tail_tokens": "residual_length", "officialPrompt": "official_prompt", "uses_official_prompt": "official_prompt",
-    "finalEvalScore": "structeval_final_eval_score", "final_score": "structeval_final_eval_score", "final_eval_score": "structeval_final_eval_score",
+    "finalEvalScore": "final_score", "final_eval_score": "final_score",
 }
 
 
@@ -50,7 +50,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest(_t(spark, sf_dir, "result_rows"), "payload", RESULT_FIELDS, RESULT_NAMES)
+    rows = _t(spark, sf_dir, "result_rows")
+    return ingest(rows, "payload", RESULT_FIELDS, renamed_to(field_changes(rows), RESULT_FIELDS, RESULT_NAMES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

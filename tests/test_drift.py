@@ -1,6 +1,6 @@
 import json
 
-from lodestrata.operators.drift import field_changes, ingest, renames, replay
+from lodestrata.operators.drift import field_changes, ingest, renamed_to, renames, replay
 
 TARGET = {"id": "string", "bits": "double", "on": "boolean", "row_id": "bigint"}
 
@@ -61,3 +61,8 @@ def test_rescue_and_replay(spark):
     again = {r["row_id"]: r for r in replay(out, {"bits": "double", "more_text": "string"}, {"old_bits": "bits", "on": "more_text"}).collect()}
     assert again[1]["bits"] == 8.5 and json.loads(again[1]["rescued"]) == {"bits": [1]}
     assert again[0]["more_text"] == "x" and again[0]["bits"] == 4.0 and json.loads(again[0]["rescued"]) == {"more": {"k": [1]}}
+
+
+def test_names_tied_by_renames(spark):
+    c = spark.createDataFrame([("renamed", "a", "b"), ("renamed", "b", "bits"), ("added", "z", "bits"), ("renamed", "q", "id"), ("renamed", "q", "on")], "change_kind string, field_name string, detail string")
+    assert renamed_to(c, TARGET, {"k": "bits"}) == {"a": "bits", "b": "bits", "k": "bits"}
