@@ -148,7 +148,9 @@ class ProportionalSample:
         mine = asked.join(cells, (asked["pool_key"] == cells["pool_key"]) & asked["by"].eqNullSafe(cells["by"])).select("draw_key", "size", "cell", "available")
         both = mine.select("draw_key", "size", "cell", "available", *[F.lit(None).cast(t).alias(n) for n, t in (("field", "string"), ("category", "string"), ("label", "string"), ("share", "double"), ("min_rows", "long"), ("holds", "long"))]).unionByName(wanted.select("draw_key", "size", F.lit(None).cast("array<string>").alias("cell"), F.lit(None).cast("long").alias("available"), "field", "category", "label", "share", "min_rows", "holds"))
         self.asked = asked
-        self.plan = both.groupBy("draw_key").applyInPandas(_plan, f"draw_key {self.kinds[0]}, cell array<string>, quota long, weight double, field string, category string, available long, needed long, sampled long, gap long")
+        # the cells are few bytes but each draw takes a while, so they must not be merged into few tasks
+        spread = both.repartition(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), "draw_key")
+        self.plan = spread.groupBy("draw_key").applyInPandas(_plan, f"draw_key {self.kinds[0]}, cell array<string>, quota long, weight double, field string, category string, available long, needed long, sampled long, gap long")
 
     def report(self) -> DataFrame:
         """Every target: (draw, field, category as written, available, needed, sampled, gap); a gap above 0 is what the pool cannot meet."""
