@@ -237,7 +237,7 @@ def _cut(slack: float, sure: float, seen: int) -> Column:
     return F.coalesce((F.col("complete") == F.lit(False)) | F.col("short") | F.col("copy_cut") | (doubtful & (cut_later | (no_end & strict))), F.lit(False))
 
 
-def judged(profiles: DataFrame, slack: float = 0.93, sure: float = 0.995, seen: int = 200) -> DataFrame:
+def judged(profiles: DataFrame, slack: float = 0.97, sure: float = 0.995, seen: int = 200) -> DataFrame:
     """Profiles with ``truncated``: the automaton's verdict, or an open last value that the source's baseline makes a cut.
 
     slack: an open last value is a cut where the text has fewer characters per
