@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
+_SPACE = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
 
 def normal_label(label: Column) -> Column:
     """The label in lower case without outer white space of any kind."""
-    return F.lower(F.regexp_replace(label, r"^[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{200b}\x{feff}]+|[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{200b}\x{feff}]+$", ""))
+    return F.lower(F.regexp_replace(label, rf"^[{_SPACE}]++|(?<![{_SPACE}])[{_SPACE}]++\z", ""))
 
 
 def rake(counts: np.ndarray, codes: np.ndarray, targets: list[dict[int, float]], size: float, rounds: int = 200) -> np.ndarray:
