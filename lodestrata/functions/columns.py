@@ -191,7 +191,9 @@ def json_candidate(text: Column) -> Column:
 
 def first_braces(text: Column) -> Column:
     """From the first opening to the next closing brace, or empty."""
-    return F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{[^}]*\}", 0)
+    t = F.coalesce(text, F.lit(""))
+    tail = F.when(F.instr(t, "{") > 0, F.substring(t, F.instr(t, "{"), F.length(t))).otherwise("")
+    return let(tail, lambda x: F.substring(x, F.lit(1), F.instr(x, "}")))
 
 
 def occurrences(text: Column, piece: str) -> Column:
@@ -237,23 +239,24 @@ def middle_cut(tokens: Column, limit: int) -> Column:
 
 def identifier_parts(text: Column) -> Column:
     """Lower-case parts of an identifier with at least two characters, and the whole of it."""
-    whole = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_]+", "_"), r"^_+|_+$", ""))
+    whole = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_]+", "_"), r"^_++|(?<!_)_++\z", ""))
     parts = F.filter(F.split(whole, "_+"), lambda x: F.length(x) >= 2)
     return F.array_distinct(F.concat(parts, F.when(F.length(whole) >= 2, F.array(whole)).otherwise(F.array().cast("array<string>"))))
 
 
 #: What names a field in XML, JSON and TOML (keys, tables).
-VISIBLE_NAMES = (r"</?([A-Za-z_][\w.-]*)", r"\"([A-Za-z_][\w .-]*)\"\s*:", r"(?m)^\s*([A-Za-z_][\w.-]*)\s*=", r"(?m)^\s*\[+([A-Za-z_][\w.-]*)\]+")
-_CSV_HEAD = r"(?m)^\s*([A-Za-z_][\w ]*(?:,\s*[A-Za-z_][\w ]*)+)\s*$"
+VISIBLE_NAMES = (r"</?([A-Za-z_][\w.-]*+)", r"\"([A-Za-z_][\w .-]*+)\"[ \t]*+:", r"(?m)^[ \t]*+([A-Za-z_][\w.-]*+)[ \t]*+=", r"(?m)^[ \t]*+\[++([A-Za-z_][\w.-]*+)\]")
+_CSV_HEAD = r"^[ \t]*+[A-Za-z_][\w ]*+,[\w ,]*+$"
 
 
 def visible_terms(prompt: Column) -> Column:
     """Sorted identifier parts of the field names that a prompt shows, in its code blocks if it has some."""
     p = F.coalesce(prompt, F.lit(""))
-    blocks = F.regexp_extract_all(p, F.lit(r"(?s)<code>(.*?)</code>"), F.lit(1))
+    closed = F.substring(p, 1, _last_instr(p, "</code>") + len("</code>") - 1)  # what an open tag behind it would scan in vain
+    blocks = F.regexp_extract_all(F.when(F.contains(p, F.lit("</code>")), closed).otherwise(""), F.lit(r"(?s)<code>(.*?)</code>"), F.lit(1))
     scope = F.when(F.size(blocks) > 0, F.array_join(blocks, "\n")).otherwise(p)
     names = [F.regexp_extract_all(scope, F.lit(x), F.lit(1)) for x in VISIBLE_NAMES]
-    heads = F.flatten(F.transform(F.regexp_extract_all(scope, F.lit(_CSV_HEAD), F.lit(1)), lambda x: F.split(x, r"\s*,\s*")))
+    heads = F.flatten(F.transform(F.filter(F.split(scope, r"\r?\n"), lambda x: x.rlike(_CSV_HEAD)), lambda x: F.split(F.trim(x), r" *, *")))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.concat(*names, heads), identifier_parts))))
 
 
@@ -265,7 +268,7 @@ def path_terms(path: Column) -> Column:
     def weighed(name: Column, i: Column) -> Column:
         weight = (i + 1 + F.when(i == depth - 1, depth).otherwise(0)).cast("double")
         terms = identifier_parts(name)
-        whole = F.lower(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_]+", "_"), r"^_+|_+$", ""))
+        whole = F.lower(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_]+", "_"), r"^_++|(?<!_)_++\z", ""))
         return F.transform(terms, lambda t: F.struct(t.alias("term"), F.when(t == whole, weight).otherwise(weight / 2).alias("weight")))
 
     return F.flatten(F.transform(parts, weighed))

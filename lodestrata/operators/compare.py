@@ -33,14 +33,14 @@ def plain_text(text: Column) -> Column:
     Only texts with characters beyond ASCII leave the JVM for composition.
     """
     unix = F.regexp_replace(text, r"\r\n?", "\n")
-    trimmed = F.regexp_replace(unix, r"(?:[\p{IsWhite_Space}&&[^\n]]+(?=\n|\z))", "")
-    ended = F.regexp_replace(trimmed, r"\n+\z", "")
+    trimmed = F.regexp_replace(unix, r"(?<![\p{IsWhite_Space}&&[^\n]])[\p{IsWhite_Space}&&[^\n]]++(?=\n|\z)", "")
+    ended = F.regexp_replace(trimmed, r"(?<!\n)\n++\z", "")
     return F.when(ended.rlike(r"[^\x00-\x7F]"), _composed(F.when(ended.rlike(r"[^\x00-\x7F]"), ended))).otherwise(ended)
 
 
 def number_key(text: Column, width: int = 6) -> Column:
     """The number in a key text, padded with zeros to ``width``; other texts keep their form without outer white space and marks."""
-    trimmed = F.regexp_replace(text, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    trimmed = F.regexp_replace(text, r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++\z", "")
     bare = F.regexp_replace(trimmed, r"^0+(?=\d)", "")
     return F.when(trimmed.rlike(r"^\d+$"), F.when(F.length(bare) < width, F.lpad(bare, width, "0")).otherwise(bare)).otherwise(trimmed)
 

@@ -22,7 +22,7 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 def payload_map(payload: Column) -> Column:
     """The fields of a payload that is one complete JSON object, as map<string,variant>; null for any other."""
-    whole = F.trim(F.regexp_replace(payload, r"^\s+|\s+$", ""))
+    whole = F.trim(F.regexp_replace(payload, r"^\s++|(?<!\s)\s++\z", ""))
     return F.when(whole.startswith("{") & whole.endswith("}"), F.from_json(whole, "map<string,variant>"))
 
 

@@ -114,3 +114,16 @@ def test_sizes(spark):
     assert one(spark, C.readable_bytes(F.lit(0))) == "0.0 B"
     assert one(spark, C.readable_bytes(F.lit(1024 * 1536))) == "1.5 MB"
     assert one(spark, C.checkpoint_key(F.lit(7), F.lit("a b/ö"), F.lit(4), F.lit(None).cast("int"), F.lit(2))) == "0007_a_b__K4_V2"
+
+
+@pytest.mark.parametrize("piece", [" ", "\n", "a, ", "_", "<code>", "{", '"a": ', "```\n", "<a "])
+def test_long_texts_take_linear_time(spark, piece):
+    text = piece * 30_000 + "x"
+    assert one(spark, C.stripped(F.col("t")), t=text).endswith("x")
+    assert one(spark, F.size(C.visible_terms(F.col("t"))), t=text) >= 0
+    assert one(spark, F.length(C.json_candidate(F.col("t"))), t=text) >= 0
+    assert one(spark, F.length(C.official_code(F.col("t"))), t=text) >= 0
+
+
+def test_first_braces(spark):
+    assert one(spark, C.first_braces(F.col("t")), t="a { b { c } d }") == "{ b { c }" and one(spark, C.first_braces(F.col("t")), t="no } {") == ""
