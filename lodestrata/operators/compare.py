@@ -30,12 +30,21 @@ def _composed(values: pd.Series) -> pd.Series:
 def plain_text(text: Column) -> Column:
     """Text with ``\\n`` line ends, without white space at line ends and at the end, composed.
 
-    Only texts with characters beyond ASCII leave the JVM for composition.
+    Most texts are plain already; plain string searches find the others, and only
+    those are rewritten.  Only texts with characters beyond ASCII leave the JVM for
+    composition.
     """
+    beyond = text.rlike(r"[^\x00-\x7F]")
+    marks = [F.contains(text, F.lit(m)) for m in (" \n", "\t\n", "\r", "\x0b", "\x0c")]
+    rough = beyond | F.right(text, F.lit(1)).isin(" ", "\t", "\n")
+    for m in marks:
+        rough = rough | m
     unix = F.regexp_replace(text, r"\r\n?", "\n")
-    trimmed = F.regexp_replace(unix, r"(?<![\p{IsWhite_Space}&&[^\n]])[\p{IsWhite_Space}&&[^\n]]++(?=\n|\z)", "")
-    ended = F.regexp_replace(trimmed, r"(?<!\n)\n++\z", "")
-    return F.when(ended.rlike(r"[^\x00-\x7F]"), _composed(F.when(ended.rlike(r"[^\x00-\x7F]"), ended))).otherwise(ended)
+    # a run is tried at its first character only, so long runs take linear time
+    trimmed = F.regexp_replace(unix, r"[\p{IsWhite_Space}&&[^\n]](?<![\p{IsWhite_Space}&&[^\n]](?s:.))[\p{IsWhite_Space}&&[^\n]]*+(?=\n|\z)", "")
+    ended = F.regexp_replace(trimmed, r"\n(?<!\n\n)\n*+\z", "")
+    clean = F.when(rough, ended).otherwise(text)
+    return F.when(beyond, _composed(F.when(beyond, ended))).otherwise(clean)
 
 
 def number_key(text: Column, width: int = 6) -> Column:

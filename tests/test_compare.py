@@ -21,6 +21,21 @@ def test_notation_is_no_difference(spark):
     assert diff(spark, a, b) == []
 
 
+def test_plain_text(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lodestrata.operators.compare import plain_text
+
+    cases = {"a \t\r\nb\u3000\nc\x0c\rd \n\n": "a\nb\nc\nd", "  a  b": "  a  b", "": "", " ": "", "\n\n": "", "e\u0301 ": "é", "x\u00a0": "x", "a \n": "a", "a\tb": "a\tb", " \n a": "\n a"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    assert [r[0] for r in df.select(plain_text(F.col("t"))).collect()] == [*cases.values(), None]
+    long = spark.createDataFrame([(c * 300_000 + "x \n",) for c in (" ", "\n", "\u3000", " \n")], "t string")
+    began = time.time()
+    assert long.select(F.length(plain_text(F.col("t")))).count() == 4 and time.time() - began < 60
+
+
 def test_every_kind(spark):
     a = [(1, "1", "x", 0.5), (1, "2", "y", 0.1), (2, "3", None, 0.2), (3, "4", "q", None), (3, "5", "only", 1.0)]
     b = [(1, "1", " x", 0.5), (1, "2", "y", 0.1001), (2, "3", "", 0.2), (3, "4", "q", 0.0), (4, "9", "new", 1.0)]
