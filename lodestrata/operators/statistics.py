@@ -22,19 +22,40 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), tail * 2))
 
 
+def numbered(df: DataFrame, group: list[str], order: str, name: str) -> DataFrame:
+    """Contiguous numbers from 0 within each group, ordered by the first two digits of md5(order), then by order, which must be unique.
+
+    Rows are ranked within 256 parts of a group and shifted by the sizes of the
+    parts before, so no task sorts a whole group.
+    """
+    part = F.substring(F.md5(F.col(order).cast("string")), 1, 2)
+    rows = df.withColumn("_part", F.coalesce(part, F.lit("")))
+    sizes = rows.groupBy(*group, "_part").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, "_part"]
+    offsets = sizes.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    on = None
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"_o{i}"))
+        on = same if on is None else on & same
+    local = rows.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    return local.join(offsets, on).withColumn(name, F.col("_offset") + F.col("_local")).drop("_part", "_local", "_offset", *[f"_o{i}" for i in range(len(keys))])
+
+
 def bootstrap_means(deltas: DataFrame, group: list[str], value: str, order: str, samples: int, seed: int) -> DataFrame:
     """(group, ``rep``, ``mean``): means of ``samples`` resamples with replacement of each group's values.
 
     Place i of resample r takes the value number md5(seed:r:i) mod n, so any engine
-    draws the same.  Values are numbered by ``order``, which must be unique.  The
-    work is samples times rows; the picks are made and joined in parallel.
+    draws the same.  Values are numbered as ``numbered`` does, by ``order``, which
+    must be unique; null groups are left out.  The work is samples times rows; the
+    picks are made and joined in parallel.
     """
-    numbered = deltas.filter(F.col(value).isNotNull()).withColumn("slot", F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1)
-    sizes = numbered.groupBy(*group).agg(F.count("*").alias("n"))
-    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    slots = numbered(deltas.filter(F.col(value).isNotNull()), group, order, "slot")
+    sizes = slots.groupBy(*group).agg(F.count("*").alias("n"))
+    reps = slots.select(*group, F.col("slot").alias("i")).join(sizes, group).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string")))
     picks = reps.withColumn("slot", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("n")))
-    return picks.join(numbered.select(*group, "slot", value), [*group, "slot"]).groupBy(*group, "rep").agg(F.avg(value).alias("mean"))
+    return picks.join(slots.select(*group, "slot", value), [*group, "slot"]).groupBy(*group, "rep").agg(F.avg(value).alias("mean"))
 
 
 def bootstrap_interval(deltas: DataFrame, group: list[str], value: str, order: str, samples: int, seed: int, level: float = 0.95) -> DataFrame:

@@ -150,14 +150,14 @@ def _boot(seed: int) -> str:
     return f"CAST(('0x' || substr(md5('{seed}:' || rep || ':' || i), 1, 8)) AS BIGINT) % n"
 
 
-@query(f"""WITH {PAIRS}, num AS (SELECT run_condition, score_delta, row_number() OVER (PARTITION BY run_condition ORDER BY task_id) - 1 AS slot FROM pairs), sz AS (SELECT run_condition, count(*) AS n FROM num GROUP BY 1),
+@query(f"""WITH {PAIRS}, num AS (SELECT run_condition, score_delta, row_number() OVER (PARTITION BY run_condition ORDER BY substr(md5(task_id), 1, 2), task_id) - 1 AS slot FROM pairs), sz AS (SELECT run_condition, count(*) AS n FROM num GROUP BY 1),
  reps AS (SELECT run_condition, n, rep, unnest(range(n)) AS i FROM (SELECT *, unnest(range(200)) AS rep FROM sz)), means AS (SELECT r.run_condition, r.rep, avg(score_delta) AS m FROM reps r JOIN num ON num.run_condition = r.run_condition AND num.slot = {_boot(42)} GROUP BY 1, 2)
  SELECT run_condition, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM means GROUP BY 1""")
 def bootstrap_ci(spark, sf_dir):
     return _rounded_ends(S.bootstrap_interval(_pairs(spark, sf_dir), ["run_condition"], "score_delta", "task_id", 200, 42))
 
 
-@query(f"""WITH {PAIRS}, num AS (SELECT run_condition, category, score_delta, row_number() OVER (PARTITION BY run_condition, category ORDER BY task_id) - 1 AS slot FROM pairs), sz AS (SELECT run_condition, category, count(*) AS n FROM num GROUP BY 1, 2),
+@query(f"""WITH {PAIRS}, num AS (SELECT run_condition, category, score_delta, row_number() OVER (PARTITION BY run_condition, category ORDER BY substr(md5(task_id), 1, 2), task_id) - 1 AS slot FROM pairs), sz AS (SELECT run_condition, category, count(*) AS n FROM num GROUP BY 1, 2),
  reps AS (SELECT run_condition, category, n, rep, unnest(range(n)) AS i FROM (SELECT *, unnest(range(200)) AS rep FROM sz)), means AS (SELECT r.run_condition, r.category, r.rep, avg(score_delta) AS m FROM reps r JOIN num ON num.run_condition = r.run_condition AND num.category = r.category AND num.slot = {_boot(7)} GROUP BY 1, 2, 3),
  macro AS (SELECT run_condition, rep, avg(m) AS m FROM means GROUP BY 1, 2) SELECT run_condition, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM macro GROUP BY 1""")
 def stratified_bootstrap_ci(spark, sf_dir):

@@ -74,6 +74,14 @@ def test_bootstrap(spark):
     assert again == got
 
 
+def test_numbers_are_contiguous_in_every_group(spark):
+    df = spark.createDataFrame([(g, i) for g in ("a", "b", None) for i in range(700 if g == "a" else 3)], "g string, i int")
+    got = S.numbered(df, ["g"], "i", "slot").collect()
+    for g, n in (("a", 700), ("b", 3), (None, 3)):
+        assert sorted(r["slot"] for r in got if r["g"] == g) == list(range(n))
+    assert S.numbered(df.limit(0), ["g"], "i", "slot").count() == 0
+
+
 def test_samples_are_balanced_and_repeatable(spark):
     df = spark.createDataFrame([(f"t{i:02d}", f"s{i % 5}", f"c{i % 2}", i) for i in range(20)], "id string, s string, c string, ord int")
     a = [r["id"] for r in M.stratified_round_robin(df, "id", "s", 7, 11).orderBy("selection_index").collect()]
