@@ -31,7 +31,8 @@ _SPACE = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{20
 
 def normal_label(label: Column) -> Column:
     """The label in lower case without outer white space of any kind."""
-    return F.lower(F.regexp_replace(label, rf"^[{_SPACE}]++|(?<![{_SPACE}])[{_SPACE}]++\z", ""))
+    edged = F.regexp_replace(label, rf"^[{_SPACE}]++|[{_SPACE}](?<![{_SPACE}](?s:.))[{_SPACE}]*+\z", "")
+    return F.lower(F.when(label.rlike(r"^[!-~](?s:.*[!-~])?\z"), label).otherwise(edged))
 
 
 def rake(counts: np.ndarray, codes: np.ndarray, targets: list[dict[int, float]], size: float, rounds: int = 200) -> np.ndarray:

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestrata.llm.sampling import ProportionalSample, rake, round_and_repair
+from lodestrata.llm.sampling import ProportionalSample, normal_label, rake, round_and_repair
 
 FIELDS = ["kind", "tier"]
 
@@ -67,3 +67,9 @@ def test_raking_meets_margins_where_cells_allow():
     assert abs(fit[:2].sum() - 30) < 1e-3 and abs(fit[[0, 2]].sum() - 40) < 1e-3 and (fit <= counts + 1e-9).all()
     q = round_and_repair(fit, counts, codes, targets, [{0: 1, 1: 1}, {}], 60)
     assert q.sum() == 60 and (q <= counts).all()
+
+
+def test_labels(spark):
+    cases = {"A b": "a b", " A\t": "a", "\u00a0\u3000x y\u200b": "x y", "": "", " ": "", "Ä ": "ä", "a\n": "a", "x": "x", " " * 100_000 + "z" + " " * 100_000: "z", None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert [r[0] for r in df.select(normal_label(F.col("t"))).collect()] == list(cases.values())
