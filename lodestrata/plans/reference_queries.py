@@ -376,6 +376,12 @@ def official_code(spark, sf_dir):
     return e.select("eval_id", F.md5(C.official_code(F.col("text"))).alias("code"))
 
 
+@query()
+def official_code_all(spark, sf_dir):
+    """``official_code`` of every text, those with unusual white space too, on which the SQL of ``official_code`` strips otherwise."""
+    return _t(spark, sf_dir, "evaluation").filter(F.col("text").isNotNull()).select("eval_id", F.md5(C.official_code(F.col("text"))).alias("code"))
+
+
 @query()
 def json_candidates(spark, sf_dir):
     e = _t(spark, sf_dir, "evaluation").filter("output_type = 'JSON'")

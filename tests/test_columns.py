@@ -127,3 +127,22 @@ def test_long_texts_take_linear_time(spark, piece):
 
 def test_first_braces(spark):
     assert one(spark, C.first_braces(F.col("t")), t="a { b { c } d }") == "{ b { c }" and one(spark, C.first_braces(F.col("t")), t="no } {") == ""
+
+
+def test_official_code_of_every_text_against_brute_force(spark, tmp_path):
+    import hashlib
+    import re
+
+    from lodestrata.plans.reference_queries import queries
+
+    spaces = ["\u00a0", "\u2000", "\u200a", "\u200b", "\u3000", "\ufeff", " \t\n"]
+    shapes = ["{s}a{s}b{s}", "x```json\n{s}a{s}b{s}```y", "<|BEGIN_CODE|>{s}a{s}b{s}<|END_CODE|>", "{s}"]
+    texts = [shape.replace("{s}", s) for shape in shapes for s in spaces] + [None]
+
+    def brute(t):
+        m = re.search(r"```[^\n]*\n(.*?)(?:```|\Z)", t, re.S) or re.search(r"<\|BEGIN_CODE\|>[ \t]*\n?(.*?)(?:<\|END_CODE\|>|\Z)", t, re.S)
+        return (m.group(1) if m else t).strip()
+
+    spark.createDataFrame(list(enumerate(texts)), "eval_id long, text string").write.parquet(f"{tmp_path}/evaluation.parquet")
+    got = {r["eval_id"]: r["code"] for r in queries()["official_code_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(brute(t).encode()).hexdigest() for i, t in enumerate(texts) if t is not None}
