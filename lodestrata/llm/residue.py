@@ -138,10 +138,8 @@ def residue_kinds(text: str | None, boiler: frozenset[int] | None = None) -> lis
                 if (_SLOT.search(s) or _ANGLE.search(s) and _slot_angles(block)) and not _ABOUT.search(_SLOT.sub("", s)):
                     found.add("placeholder")
                     break
-        if len(plain) > 900:
-            continue
         unquoted = _QUOTED.sub('""', plain)
-        sentences = _parts(_MARKUP.sub(" ", unquoted)) if len(unquoted) <= 600 else []
+        sentences = _parts(_MARKUP.sub(" ", unquoted))
         script = error = 0
         for n, sentence in enumerate(sentences):
             if '""' not in sentence and len(_WORD.findall(sentence)) <= 16:

@@ -33,6 +33,14 @@ def test_found(kind, text):
     assert residue_kinds(f"{GOOD}\n\n{text}\n\n{GOOD}") == [kind]
 
 
+@pytest.mark.parametrize("kind", ["error", "script_required"])
+@pytest.mark.parametrize("size", [650, 950, 20_000])
+def test_found_in_long_blocks(kind, size):
+    block = "\n".join(FOUND[kind][:1] * (size // len(FOUND[kind][0]) + 1))
+    assert len(block) > size and residue_kinds(f"{GOOD}\n\n{block}\n\n{GOOD}") == [kind]
+    assert residue_kinds(f"{block}\n" + f"{GOOD}\n" * (2 * block.count("\n") + 4)) == []
+
+
 @pytest.mark.parametrize("text", CLEAN)
 def test_clean(text):
     assert residue_kinds(text) == []
