@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 RADIUS, BLOCKS, BLOCK_BITS = 3, 4, 16
 CHUNK_WORDS = 1 << 16
 
@@ -74,9 +76,13 @@ def simhashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Words, weights and block index of a bounded slice of items."""
+    """Words, weights and block index of a bounded slice of items.
+
+    counted: of a slice, the number of all items and the triples that several of them
+    hold; without it, the items are all there are.
+    """
 
-    def __init__(self, items: list[tuple], width: int):
+    def __init__(self, items: list[tuple], width: int, counted: tuple[int, dict[tuple, int]] | None = None):
         self.width, self.ids, self.words, owner, place, prints = width, [], [], [], [], []
         known = _Hashes()
         for item_id, words in items:
@@ -105,8 +111,8 @@ class ItemIndex:
                 at[tuple(words[j : j + 3])].append(j)
             seen.update(at.keys())
             self.triples.append(dict(at))
-        n = max(len(self.words), 1)
-        self.weight = {t: math.log(1 + n / c) for t, c in seen.items()}
+        n, holders = counted or (max(len(self.words), 1), seen)
+        self.weight = {t: math.log(1 + n / holders.get(t, 1)) for t in seen}
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item window) pairs within RADIUS."""
@@ -155,18 +161,40 @@ class ItemIndex:
 
 
 def item_passages(items: DataFrame, key: str, text: str, shared: int = 3) -> DataFrame:
-    """(``item_key``, ``passage``): the items' texts without lines that at least ``shared`` items hold, or without first and last line where nothing would remain."""
-    lines = items.select(F.col(key).alias("item_key"), F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r?\n")).alias("place", "line"))
-    counts = lines.select("item_key", F.trim("line").alias("line")).distinct().groupBy("line").agg(F.count("*").alias("holders"))
-    kept = lines.withColumn("line", F.trim("line")).join(counts, "line").filter(F.col("holders") < shared)
-    return kept.groupBy("item_key").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])).alias("passage"))
+    """(``item_key``, ``passage``): the items' texts without their first and last lines where at least ``shared`` distinct texts begin or end with them.
+
+    Lines between them stay, whatever holds them.  An item of one or two lines keeps
+    its longest one, so that no item with a text is left empty.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), F.trim), lambda x: x != "")
+    texts = items.select(F.col(key).alias("item_key"), lines.alias("lines")).distinct().withColumns({"first": F.try_element_at("lines", F.lit(1)), "last": F.try_element_at("lines", F.lit(-1))})
+    ends = texts.select("lines", F.explode(F.array_distinct(F.array("first", "last"))).alias("line")).distinct().groupBy("line").agg(F.count("*").alias("holders")).filter(F.col("holders") >= shared)
+    marked = texts.join(ends.select(F.col("line").alias("first"), F.lit(True).alias("cut_first")), "first", "left").join(ends.select(F.col("line").alias("last"), F.lit(True).alias("cut_last")), "last", "left")
+    size, longest = F.size("lines"), F.array_max(F.transform("lines", F.length))
+    cut = F.filter("lines", lambda x, i: ~((i == 0) & F.col("cut_first").isNotNull() | (i == size - 1) & F.col("cut_last").isNotNull()) | (size <= 2) & (F.length(x) == longest))
+    return marked.groupBy("item_key").agg(F.concat_ws("\n", F.array_sort(F.collect_set(F.concat_ws("\n", cut)))).alias("passage"))
+
+
+def _triples(words: list[str]) -> set[tuple]:
+    return {tuple(words[j : j + 3]) for j in range(len(words) - 2)}
+
+
+def triple_holders(passages: DataFrame, width: int) -> DataFrame:
+    """(``triple``, ``holders``): word triples, words parted by blanks, that more than one of the passages of at least ``width`` words hold."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([" ".join(t) for p in b["passage"] if len(words := leak_words(p)) >= width for t in _triples(words)], columns=["triple"])
+
+    return passages.select("passage").mapInPandas(run, "triple string").groupBy("triple").agg(F.count("*").alias("holders")).filter("holders > 1")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, doc_text: str = "text", item_text: str = "text", width: int = 6, least: int = 15, weight_share: float = 0.5, slice_items: int = 5000) -> DataFrame:
     """All (``doc_key``, ``item_key``, ``covered_words``, ``weight_share``) of documents that hold about ``least`` or more consecutive words of an item.
 
     Items go to the executors in slices of at most ``slice_items`` (a few MB each),
-    and the corpus is scanned once per slice, whole texts, without a shuffle.
+    and the corpus is scanned once per slice, whole texts, without a shuffle; word
+    triples are weighed over the items of all slices.
     Null and short texts hold nothing; repeated documents each give their own row;
     an item given twice under one key counts once.
     """
@@ -175,15 +203,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, d
     n = passages.count()
     kinds = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
     schema = f"doc_key {kinds[0]}, item_key {kinds[1]}, covered_words int, weight_share double"
-    numbered = passages if n <= slice_items else passages.withColumn("slice", F.floor((F.row_number().over(Window.orderBy("item_key")) - 1) / slice_items))
+    sliced = n > slice_items
+    if sliced:
+        passages = stage(passages.withColumn("slice", F.floor((F.row_number().over(Window.orderBy("item_key")) - 1) / slice_items)), "passages")
+        holders = stage(triple_holders(passages, width), "triples")
+        indexed = passages.select("passage").mapInPandas(lambda bs: (pd.DataFrame({"n": [sum(len(leak_words(p)) >= width for p in b["passage"])]}) for b in bs), "n long").agg(F.sum("n")).first()[0]
     found = None
     for part in range(max(1, math.ceil(n / slice_items))):
-        mine = numbered if n <= slice_items else numbered.filter(F.col("slice") == part)
+        mine = passages.filter(F.col("slice") == part) if sliced else passages
         rows = sorted((r["item_key"], leak_words(r["passage"])) for r in mine.select("item_key", "passage").collect())
-        shared = spark.sparkContext.broadcast(rows)
+        counted = None
+        if sliced:
+            here = spark.createDataFrame([(" ".join(t),) for t in sorted(set().union(*(_triples(words) for _, words in rows)))], "triple string")
+            counted = max(indexed, 1), {tuple(r["triple"].split(" ")): r["holders"] for r in holders.join(here, "triple", "left_semi").collect()}
+        shared = spark.sparkContext.broadcast((rows, counted))
 
         def run(batches, shared=shared):
-            index = ItemIndex(shared.value, width)
+            index = ItemIndex(shared.value[0], width, shared.value[1])
             known = _Hashes()
             for b in batches:
                 out = []

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.llm.leakage import RADIUS, ItemIndex, find_leaks, leak_words, simhashes
+from lodestrata.llm.leakage import RADIUS, ItemIndex, find_leaks, item_passages, leak_words, simhashes
 
 RNG = random.Random(5)
 VOCAB = [f"w{i}" for i in range(4000)]
@@ -59,6 +59,26 @@ def test_same_template_with_other_names_is_no_leak(spark):
     assert run(spark, [(1, other), (2, item)], items) == [(2, 99)]
 
 
+def test_no_item_is_left_empty(spark):
+    one, ends = passage(), passage(30)
+    items = [*ITEMS, *((100 + i, one) for i in range(4)), *((200 + i, f"Read {i}.\n{one}") for i in range(3)), *((300 + i, f"Read this.\n{ends}\n{passage()}\nDo not explain.") for i in range(3))]
+    assert run(spark, [(1, one), (2, ends)], items) == [*((1, 100 + i) for i in range(4)), *((1, 200 + i) for i in range(3)), *((2, 300 + i) for i in range(3))]
+    got = {r["item_key"]: r["passage"] for r in item_passages(frames(spark, [(0, "")], items)[1], "item_id", "text").collect()}
+    assert got[0] == ITEMS[0][1].split("\n")[1] and got[100] == one and got[200] == f"Read 0.\n{one}"
+
+
+def test_triples_are_weighed_over_all_slices(spark):
+    common, own = passage(16).split(), [passage(11).split() for _ in range(24)]
+    items = [(i, f"Read this.\n{' '.join(common + own[i])}\nDo not explain.") for i in range(24)]
+    docs = [(1, " ".join(common + ["other"] + own[3][1:]))]
+
+    def shares(**kw):
+        return {r["item_id"]: r["weight_share"] for r in find_leaks(*frames(spark, docs, items), "doc_id", "item_id", weight_share=0, **kw).collect()}
+
+    whole = shares()
+    assert whole[3] < 0.9 and shares(slice_items=5) == whole
+
+
 def test_empty_tables(spark):
     assert run(spark, []) == [] and run(spark, [(1, passage())], []) == []
 
