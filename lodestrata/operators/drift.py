@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import temp_name
+from ..staging import stage, temp_name
 
-BINS = 256
+# A number that stands alone; longer ones are codes and count as words.
+_NUMBER = r"(?<![\p{L}\p{N}.])(?:(?<![\p{L}\p{N}])-)?\d{1,15}(?:\.\d+)?(?:e[+-]?\d{1,3})?(?![\p{L}\p{N}])"
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -40,30 +41,89 @@ def json_kind(value: Column) -> Column:
 
 
 def _tokens(value: Column) -> Column:
-    """Words and numbers of a value whatever its JSON form, fractions as one token."""
+    """Words and numbers of a value whatever its JSON form, as distinct structs of ``word`` or ``number``: 4, 4.0 and "4" are the same."""
     text = F.lower(F.regexp_replace(value.cast("string"), r'"\w+"\s*:', " "))
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(text, r"\d+\.\d+", "frac"), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), lambda x: F.struct(F.lit(None).cast("string").alias("word"), (x.cast("double") + 0.0).alias("number")))
+    words = F.transform(F.filter(F.split(F.regexp_replace(text, _NUMBER, " "), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.struct(x.alias("word"), F.lit(None).cast("double").alias("number")))
+    return F.array_distinct(F.concat(words, numbers))
+
+
+def _parsed(rows: DataFrame, series: str, seq: str, payload: str) -> DataFrame:
+    return rows.select(F.col(series).alias("series_key"), F.col(seq).alias("seq_key"), payload_map(F.col(payload)).alias("m"))
 
 
 def file_fields(rows: DataFrame, series: str, seq: str, payload: str) -> DataFrame:
-    """(series, seq, ``fields``): per file its fields with their kinds and a histogram of value tokens in BINS bins.
+    """(series, seq, ``fields``): per file its fields with their kinds.
 
     Partly aggregated before every shuffle; what is kept of a file is bounded by
     its number of fields, whatever its number of rows.
     """
-    parsed = rows.select(F.col(series).alias("series_key"), F.col(seq).alias("seq_key"), payload_map(F.col(payload)).alias("m"))
-    each = parsed.select("series_key", "seq_key", F.explode_outer(F.map_entries("m")).alias("e")).select("series_key", "seq_key", F.col("e.key").alias("field"), F.col("e.value").alias("v"))
-    kind = each.withColumn("kind", json_kind(F.col("v"))).withColumn("t", F.when(F.col("kind").isNotNull(), _tokens(F.col("v"))))
-    binned = kind.select("series_key", "seq_key", "field", "kind", F.explode_outer("t").alias("token")).withColumn("bin", F.pmod(F.xxhash64("token"), F.lit(BINS)).cast("int"))
-    counts = binned.groupBy("series_key", "seq_key", "field", "kind", F.when(F.col("token").isNotNull(), F.col("bin")).alias("bin")).agg(F.count("*").alias("n"))
-    fields = counts.groupBy("series_key", "seq_key", "field").agg(
-        F.array_sort(F.collect_set("kind")).alias("kinds"),
-        F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))).alias("bins"),
-    )
-    one = F.when(F.col("field").isNotNull(), F.struct("field", "kinds", "bins"))
+    each = _parsed(rows, series, seq, payload).select("series_key", "seq_key", F.explode_outer(F.map_entries("m")).alias("e"))
+    fields = each.groupBy("series_key", "seq_key", F.col("e.key").alias("field")).agg(F.array_sort(F.collect_set(json_kind(F.col("e.value")))).alias("kinds"))
+    one = F.when(F.col("field").isNotNull(), F.struct("field", "kinds"))
     return fields.groupBy("series_key", "seq_key").agg(F.collect_list(one).alias("fields"))
 
 
+def _value_counts(parsed: DataFrame, steps: DataFrame) -> DataFrame:
+    """(series, ``step``, ``old``, ``field``, ``word``, ``number``, ``n``) of the fields that a file lost (``old``) or won, whatever its rows, one row per value."""
+    sides = [
+        steps.select("series_key", F.col("before_key").alias("seq_key"), F.col("seq_key").alias("step"), F.lit(True).alias("old"), F.col("gone").alias("names")),
+        steps.select("series_key", "seq_key", F.col("seq_key").alias("step"), F.lit(False).alias("old"), F.col("new").alias("names")),
+    ]
+    wanted = sides[0].unionByName(sides[1]).groupBy(F.col("series_key").alias("s"), F.col("seq_key").alias("q")).agg(F.collect_list(F.struct("step", "old", "names")).alias("uses"))
+    named = parsed.join(wanted, F.col("series_key").eqNullSafe(F.col("s")) & F.col("seq_key").eqNullSafe(F.col("q"))).select("series_key", "m", F.explode("uses").alias("u"))
+    values = named.select("series_key", "u.step", "u.old", F.explode("u.names").alias("field"), "m").withColumn("v", F.try_element_at("m", "field"))
+    tokens = values.filter(json_kind(F.col("v")).isNotNull()).select("series_key", "step", "old", "field", F.explode(_tokens(F.col("v"))).alias("t"))
+    return tokens.groupBy("series_key", "step", "old", "field", "t.word", "t.number").agg(F.count("*").alias("n"))
+
+
+def value_likeness(counts: DataFrame) -> DataFrame:
+    """(series, ``step``, ``gone``, ``new``, ``alike``): overlap of the values of a lost and a won field, from 0 to 1, of all pairs above 0.
+
+    Words overlap by their exact counts, and so do numbers that repeat.  Numbers that
+    occur once say nothing by their counts (a score, a size): that part of them
+    overlaps by the largest gap between both distribution functions.  Numbers inside
+    texts count as far as the words around them overlap.
+    """
+    place = ["series_key", "step"]
+    sums = counts.groupBy(*place, "old", "field").agg(
+        F.sum("n").alias("total"), F.sum(F.when(F.col("word").isNotNull(), F.col("n")).otherwise(0)).alias("words"), F.count_if(F.col("number").isNotNull() & (F.col("n") == 1)).alias("once")
+    )
+
+    def side(df: DataFrame, old: bool, name: str, *columns: str) -> DataFrame:
+        return df.filter(F.col("old") == old).select(F.col("series_key").alias(f"{name}_s"), F.col("step").alias(f"{name}_q"), F.col("field").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    here = F.col("gone_s").eqNullSafe(F.col("new_s")) & F.col("gone_q").eqNullSafe(F.col("new_q"))
+    pairs = side(sums, True, "gone", "total", "words", "once").join(side(sums, False, "new", "total", "words", "once"), here).drop("new_s", "new_q").withColumnsRenamed({"gone_s": "series_key", "gone_q": "step"})
+    shares = counts.join(sums.withColumnsRenamed({"series_key": "s", "step": "q", "old": "o", "field": "f"}), F.col("series_key").eqNullSafe(F.col("s")) & F.col("step").eqNullSafe(F.col("q")) & (F.col("old") == F.col("o")) & (F.col("field") == F.col("f")))
+    shares = shares.withColumns({"share": F.col("n") / F.col("total"), "part": F.when(F.col("number").isNotNull(), F.col("n") / (F.col("total") - F.col("words")))}).select(*place, "old", "field", "word", "number", "share", "part")
+    same = here & F.col("gone_word").eqNullSafe(F.col("new_word")) & F.col("gone_number").eqNullSafe(F.col("new_number"))
+    both = side(shares, True, "gone", "word", "number", "share").join(side(shares, False, "new", "word", "number", "share"), same)
+    least = F.least("gone_share", "new_share")
+    exact = both.groupBy(F.col("gone_s").alias("e_s"), F.col("gone_q").alias("e_q"), F.col("gone").alias("e_gone"), F.col("new").alias("e_new")).agg(
+        F.sum(F.when(F.col("gone_word").isNotNull(), least).otherwise(0.0)).alias("in_words"), F.sum(F.when(F.col("gone_number").isNotNull(), least).otherwise(0.0)).alias("in_numbers")
+    )
+
+    rare = pairs.filter((F.col("gone_once") > 0) & (F.col("new_once") > 0)).select(*place, "gone", "new")
+    numbers = shares.filter(F.col("number").isNotNull()).select(F.col("series_key").alias("s"), F.col("step").alias("q"), "old", "field", "number", "part")
+    mine = F.col("series_key").eqNullSafe(F.col("s")) & F.col("step").eqNullSafe(F.col("q")) & (F.col("field") == F.when(F.col("old"), F.col("gone")).otherwise(F.col("new")))
+    by = [*place, "gone", "new"]
+    rises = rare.join(numbers, mine).groupBy(*by, "number").agg(F.sum(F.when(F.col("old"), F.col("part")).otherwise(-F.col("part"))).alias("rise"))
+    running = rises.withColumn("gap", F.abs(F.sum("rise").over(Window.partitionBy(*by).orderBy("number").rowsBetween(Window.unboundedPreceding, 0))))
+    gaps = running.groupBy(*[F.col(c).alias(f"g_{c}") for c in by]).agg(F.max("gap").alias("gap"))
+
+    def at(p: str, s: str, q: str) -> Column:
+        return F.col("series_key").eqNullSafe(F.col(s)) & F.col("step").eqNullSafe(F.col(q)) & (F.col("gone") == F.col(f"{p}_gone")) & (F.col("new") == F.col(f"{p}_new"))
+
+    all_pairs = pairs.join(exact, at("e", "e_s", "e_q"), "left").join(gaps, at("g", "g_series_key", "g_step"), "left")
+    single = F.least(F.col("gone_once") / F.col("gone_total"), F.col("new_once") / F.col("new_total"))
+    numeric = F.least((F.col("gone_total") - F.col("gone_words")) / F.col("gone_total"), (F.col("new_total") - F.col("new_words")) / F.col("new_total"))
+    in_numbers = F.least(numeric, F.coalesce("in_numbers", F.lit(0.0)) + single * F.coalesce(1 - F.col("gap"), F.lit(0.0)))
+    in_words, worded = F.coalesce("in_words", F.lit(0.0)), F.least(F.col("gone_words") / F.col("gone_total"), F.col("new_words") / F.col("new_total"))
+    alike = in_words + in_numbers * F.when(worded > 0, F.least(F.lit(1.0), in_words / worded)).otherwise(1.0)
+    return all_pairs.select(*by, alike.alias("alike")).filter("alike > 0")
+
+
 def _likeness(a: dict, b: dict) -> float:
     """Overlap of two fields' value distributions, from 0 to 1."""
     na, nb = sum(a.values()), sum(b.values())
@@ -76,17 +136,18 @@ def _name_parts(name: str) -> list[str]:
     return [p.lower() for p in _PARTS.findall(name)]
 
 
-def renames(removed: dict[str, dict], added: dict[str, dict], alike: float = 0.5) -> list[tuple[str, str]]:
+def renames(removed: dict[str, dict], added: dict[str, dict], alike: float = 0.5, known: dict[tuple[str, str], float] | None = None) -> list[tuple[str, str]]:
     """Pairs (old, new) of fields whose values go on under another name, best pairs first.
 
     Names that differ only in case and separators go together where their values do
     not contradict it; other pairs need value distributions that overlap by
-    ``alike``, or a bit less where the names share a word.
+    ``alike``, or a bit less where the names share a word.  known: the overlaps, where
+    they were found before (``value_likeness``); else they come from the counts.
     """
     scored = []
     for old, a in removed.items():
         for new, b in added.items():
-            like, pa, pb = _likeness(a, b), _name_parts(old), _name_parts(new)
+            like, pa, pb = _likeness(a, b) if known is None else known.get((old, new), 0.0), _name_parts(old), _name_parts(new)
             same = "".join(pa) == "".join(pb)
             shared = bool(set(pa) & set(pb))
             if same or like >= alike or shared and like >= 0.6 * alike:
@@ -102,16 +163,16 @@ def renames(removed: dict[str, dict], added: dict[str, dict], alike: float = 0.5
 def _compare_files(pdf: pd.DataFrame) -> list[tuple]:
     out = []
     for r in pdf.itertuples():
-        before, now = ({f["field"]: (set(f["kinds"]), {b["bin"]: b["n"] for b in f["bins"]}) for f in x} for x in (r.before, r.fields))
+        before, now = ({f["field"]: set(f["kinds"]) for f in x} for x in (r.before, r.fields))
         gone, new = sorted(before.keys() - now.keys()), sorted(now.keys() - before.keys())
-        pairs = renames({k: before[k][1] for k in gone}, {k: now[k][1] for k in new})
+        pairs = renames(dict.fromkeys(gone, {}), dict.fromkeys(new, {}), known={(p["gone"], p["new"]): p["alike"] for p in ([] if r.pairs is None else r.pairs)})
         moved, came = {a for a, _ in pairs}, {b for _, b in pairs}
         out += [(r.series_key, r.seq_key, "removed", k, None) for k in gone if k not in moved]
         out += [(r.series_key, r.seq_key, "added", k, None) for k in new if k not in came]
         out += [(r.series_key, r.seq_key, "renamed", a, b) for a, b in pairs]
         for a, b in [*pairs, *((k, k) for k in sorted(before.keys() & now.keys()))]:
-            if before[a][0] and now[b][0] and before[a][0] != now[b][0]:
-                out.append((r.series_key, r.seq_key, "type_changed", a, ",".join(sorted(now[b][0]))))
+            if before[a] and now[b] and before[a] != now[b]:
+                out.append((r.series_key, r.seq_key, "type_changed", a, ",".join(sorted(now[b]))))
     return out
 
 
@@ -119,17 +180,25 @@ def field_changes(rows: DataFrame, series: str = "series_id", seq: str = "file_s
     """(series, seq, ``change_kind``, ``field_name``, ``detail``) of every file against the one with the previous ``seq`` of its series.
 
     Null, empty, broken and repeated payloads change nothing; a file without any
-    complete payload has no fields.  detail is the new name or the new kinds.
+    complete payload has no fields.  detail is the new name or the new kinds.  The
+    values of fields that a file lost or won are read a second time, and only theirs
+    are counted.
     """
     files = file_fields(rows, series, seq, payload)
-    before = files.withColumn("before", F.lag("fields").over(Window.partitionBy("series_key").orderBy("seq_key"))).filter(F.col("before").isNotNull())
+    order = Window.partitionBy("series_key").orderBy("seq_key")
+    before = stage(files.withColumns({"before": F.lag("fields").over(order), "before_key": F.lag("seq_key").over(order)}).filter(F.col("before").isNotNull()), "fields")
     kinds = dict(files.dtypes)
+    names = {c: F.transform(c, lambda f: f["field"]) for c in ("before", "fields")}
+    steps = before.select("series_key", "seq_key", "before_key", F.array_except(names["before"], names["fields"]).alias("gone"), F.array_except(names["fields"], names["before"]).alias("new")).filter((F.size("gone") > 0) & (F.size("new") > 0))
+    counts = stage(_value_counts(_parsed(rows, series, seq, payload), steps), "values")
+    likely = value_likeness(counts).groupBy(F.col("series_key").alias("l_s"), F.col("step").alias("l_q")).agg(F.collect_list(F.struct("gone", "new", "alike")).alias("pairs"))
+    before = before.join(likely, F.col("series_key").eqNullSafe(F.col("l_s")) & F.col("seq_key").eqNullSafe(F.col("l_q")), "left")
 
     def run(batches):
         for b in batches:
             yield pd.DataFrame(_compare_files(b), columns=["series_key", "seq_key", "change_kind", "field_name", "detail"])
 
-    out = before.select("series_key", "seq_key", "fields", "before").mapInPandas(run, f"series_key {kinds['series_key']}, seq_key {kinds['seq_key']}, change_kind string, field_name string, detail string")
+    out = before.select("series_key", "seq_key", "fields", "before", "pairs").mapInPandas(run, f"series_key {kinds['series_key']}, seq_key {kinds['seq_key']}, change_kind string, field_name string, detail string")
     return out.withColumnsRenamed({"series_key": series, "seq_key": seq})
 
 

@@ -47,6 +47,16 @@ def test_renames_need_alike_values():
     assert renames({"finalScore": {}}, {"final_score": {}}) == [("finalScore", "final_score")]
 
 
+def test_renames_in_large_files(spark):
+    def file(**fields):
+        return [json.dumps({k: make(i) for k, make in fields.items()}) for i in range(1500)]
+
+    a = file(owner=lambda i: f"user-{i}", weight=lambda i: i / 1500, bits=lambda i: 2 << i % 3, score=lambda i: i * 7919 % 1500 / 1499, title=lambda i: f"u{i}")
+    b = file(place=lambda i: f"site-{i}", height=lambda i: 500 + i / 7, kbits=lambda i: str(2 << i % 3), final_score=lambda i: (i * 104729 + 1) % 1500 / 1501, label=lambda i: f"v{i}")
+    gone, new = ("owner", "weight", "title"), ("place", "height", "label")
+    assert changes(spark, a, b) == sorted([*((1, "removed", f) for f in gone), *((1, "added", f) for f in new), (1, "renamed", "bits"), (1, "renamed", "score"), (1, "type_changed", "bits")])
+
+
 def test_rescue_and_replay(spark):
     payloads = ['{"id": "a", "bits": "4", "on": "x", "more": {"k": [1]}}', '{"id": 7, "bits": [1], "old_bits": 8.5, "row_id": 5}', "{broken", None, '{"id": null}']
     df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "row_id long, payload string")
