@@ -46,7 +46,7 @@ _WORD = re.compile(r"[^\W_]+")
 _CJK = re.compile("[぀-ヿ一-鿿]")
 _ESCAPE = re.compile(r"\\[nrt]|\\u[0-9a-fA-F]{4}|&(?:quot|amp|lt|gt|#\d+);")
 
-PROFILE = "complete boolean, reason string, opened string, terminated boolean, last_open boolean, short boolean, closed_kind boolean, chars_per_token double, empty boolean, refusal boolean, copy boolean, copy_cut boolean, other_language boolean"
+PROFILE = "complete boolean, reason string, opened string, terminated boolean, last_open boolean, short boolean, closed_kind boolean, chars_per_token double, latin boolean, empty boolean, refusal boolean, copy boolean, copy_cut boolean, other_language boolean"
 
 
 def _words(text: str) -> list[str]:
@@ -149,6 +149,10 @@ def copy_is_cut(query: str, text: str) -> bool:
     return at >= 0 and bool(q[at + len(t) :].strip()) and (q[at + len(t)].isalnum() and t[-1:].isalnum())
 
 
+# Letters beyond Latin: such a text is measured in bytes, and against such texts of its source.
+_OTHER_SCRIPT = re.compile("[\u0370-\u1dff\u2c00-\ua71f\uac00-\ud7ff\uf900-\ufaff\uff66-\uffdc]")
+
+
 def _prose_only(a: Answer) -> str | None:
     """The text of an answer without data, or with nothing but one message in place of it."""
     if a.complete is None:
@@ -178,24 +182,25 @@ def speaks_other(query: str | None, a: Answer, fields: set[str]) -> bool:
 def profile(query: str | None, text: str | None, output_type: str | None, input_type: str | None, stop: str | None, tokens: float | None) -> tuple:
     """One row of PROFILE."""
     if not shows(text):
-        return None, "", "", False, False, False, False, None, True, False, False, False, False
+        return None, "", "", False, False, False, False, None, True, True, False, False, False, False
     a = read_answer(text, output_type)
     prose = _prose_only(a)
     copy = is_copy(query, text)
     refusal = bool(not copy and prose and _REFUSAL.search(prose))
     rate = None
-    if tokens and tokens > 8 and stop != "max_new_tokens" and text.isascii():
-        rate = len(text) / tokens
+    latin = text.isascii() or not _OTHER_SCRIPT.search(text)
+    if tokens and tokens > 8 and stop != "max_new_tokens":
+        rate = (len(text) if latin else len(text.encode("utf-8", "replace"))) / tokens
     if copy:
-        return None, "", a.opened, a.terminated, False, False, False, rate, False, False, True, copy_is_cut(query, text), False
+        return None, "", a.opened, a.terminated, False, False, False, rate, latin, False, False, True, copy_is_cut(query, text), False
     if refusal:
-        return None, "", a.opened, a.terminated, False, False, False, rate, False, True, False, False, False
+        return None, "", a.opened, a.terminated, False, False, False, rate, latin, False, True, False, False, False
     least, fields = _requested(query, input_type)
     other = speaks_other(query, a, fields)
     short = a.complete is True and a.notation in ("YAML", "TOML", "CSV") and not a.terminated and not other and a.records < least and not (a.prose and a.prose[-1].rstrip().endswith((".", "!", "?", "。")) and a.prose[-1] in text[-len(a.prose[-1]) - 8 :])
     if a.complete and not short and fields and a.notation in ("YAML", "TOML") and a.records == 1 and not a.terminated and not other and len(set(a.keys)) < len(fields):
         short = True
-    return a.complete, a.reason, a.opened, a.terminated, a.last_open, short, a.notation in ("JSON", "XML"), rate, False, False, False, False, other
+    return a.complete, a.reason, a.opened, a.terminated, a.last_open, short, a.notation in ("JSON", "XML"), rate, latin, False, False, False, False, other
 
 
 def profile_answers(df: DataFrame, key: str, query: str = "query", text: str = "text", output_type: str = "output_type", input_type: str = "input_type", stop: str = "stop_reason", tokens: str = "generated_tokens", source: str = "export_source") -> DataFrame:
@@ -215,22 +220,24 @@ def profile_answers(df: DataFrame, key: str, query: str = "query", text: str = "
 
 
 def terminator_baselines(profiles: DataFrame) -> DataFrame:
-    """Per source, over answers that provably closed: share of opened wrappings that ended, and least usual characters per token.
+    """Per source, over answers that provably closed: share of opened wrappings that ended, and least usual length per token.
 
-    One row per source (null is a source of its own); both figures are null where
-    a source has no such answer.
+    The length is in characters for Latin texts and in bytes for texts with letters of
+    other scripts, each with a figure of its own.  One row per source (null is a
+    source of its own); a figure is null where a source has no such answer.
     """
     closed = F.col("complete") & F.col("closed_kind")
     return profiles.groupBy(F.col("answer_source").alias("base_source")).agg(
         F.avg(F.when(closed & (F.col("opened") != ""), F.col("terminated").cast("int"))).alias("terminator_rate"),
-        F.percentile_approx(F.when(closed, F.col("chars_per_token")), 0.01, 1000).alias("least_chars_per_token"),
+        F.percentile_approx(F.when(closed & F.col("latin"), F.col("chars_per_token")), 0.01, 1000).alias("least_chars_per_token"),
+        F.percentile_approx(F.when(closed & ~F.col("latin"), F.col("chars_per_token")), 0.01, 1000).alias("least_bytes_per_token"),
         F.count(F.when(closed & (F.col("opened") != ""), 1)).alias("closed_answers"),
     )
 
 
 def _cut(slack: float, sure: float, seen: int) -> Column:
     """Whether a profile joined with its source's baseline is a cut answer."""
-    cut_later = F.col("chars_per_token") < slack * F.col("least_chars_per_token")
+    cut_later = F.col("chars_per_token") < slack * F.when(F.col("latin"), F.col("least_chars_per_token")).otherwise(F.col("least_bytes_per_token"))
     no_end = (F.col("opened") != "") & ~F.col("terminated")
     strict = (F.col("terminator_rate") >= sure) & (F.col("closed_answers") >= seen)
     doubtful = F.col("complete") & ~F.col("closed_kind") & F.col("last_open") & ~F.col("terminated")

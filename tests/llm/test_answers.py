@@ -113,3 +113,13 @@ def test_source_baseline_decides_an_open_last_value(spark):
     assert got == [250]
     rows[-2] = (None, cut, "YAML", "eos", 200, "loose")
     assert sorted(r["eval_id"] for r in truncated_answers(frame(spark, rows), "eval_id").filter("truncated").collect()) == [250, 251]
+
+
+def test_token_counts_decide_in_every_script(spark):
+    latin = "<|BEGIN_CODE|>\nferrys:\n  - code: AB123\n    name: Zoë\n  - code: CD456\n    name: Fenfi"
+    other = latin.replace("Zoë", "港の船").replace("Fenfi", "北の倉庫")
+    closed = [(None, BODY["JSON"], "JSON", "eos", len(BODY["JSON"]) // 4, "a"), (None, '{"name": "港の船と北の倉庫", "place": "南の港の近く"}', "JSON", "eos", 24, "a")] * 5
+    cut, whole = [[(None, t, "YAML", None, len(t.encode()) // per, "a") for t in (latin, other)] for per in (1, 3)]
+    whole = [(q, t, o, s, n * 3 // 4, src) for q, t, o, s, n, src in whole]
+    got = [r["eval_id"] for r in truncated_answers(frame(spark, [*closed, *cut, *whole]), "eval_id").filter("truncated").collect()]
+    assert sorted(got) == [10, 11]
