@@ -240,12 +240,13 @@ def _typed(value: Column, kind: str) -> Column:
     return F.when(have.isin("string", "number", "boolean"), F.try_variant_get(value, "$", "string"))
 
 
-def ingest(rows: DataFrame, payload: str, target: dict[str, str], approved: dict[str, str] | None = None) -> DataFrame:
+def ingest(rows: DataFrame, payload: str, target: dict[str, str], approved: dict[str, str] | None = None, filled: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` without ``payload``, plus the target's typed columns, ``rescued`` and ``payload_state``.
 
     target: field to type (string, int, bigint, double, boolean).  approved: further
-    field names whose values belong to a target field.  A field that is unknown, or
-    whose value does not fit, stays in ``rescued`` as JSON, under its own name; a
+    field names whose values belong to a target field; of several that fit the first
+    is taken.  filled: columns that hold a target field already, where they are not
+    null.  A field that is unknown or not taken, or whose value does not fit, stays in ``rescued`` as JSON, under its own name; a
     payload that is no complete object stays there whole, under ``_payload``.
     payload_state is complete, broken or missing.  A typed column whose name is
     taken gets a numbered one.
@@ -259,12 +260,15 @@ def ingest(rows: DataFrame, payload: str, target: dict[str, str], approved: dict
     for field, kind in target.items():
         values = [_typed(F.try_element_at(m, F.lit(n)), kind) for n in names[field]]
         typed.append(F.coalesce(*values).alias(temp_name(keep, field)))
-        fits += [(n, v) for n, v in zip(names[field], values)]
+        free = (filled or {}).get(field, F.lit(None)).isNull()
+        for n, v in zip(names[field], values):
+            fits.append((n, free & v.isNotNull()))
+            free = free & v.isNull()
 
     def stays(k: Column, v: Column) -> Column:
         used = F.lit(False)
-        for n, value in fits:
-            used = used | ((k == n) & value.isNotNull())
+        for n, taken in fits:
+            used = used | ((k == n) & taken)
         return ~used & v.isNotNull() & json_kind(v).isNotNull()
 
     left = F.map_filter(m, stays)
@@ -278,9 +282,10 @@ def replay(table: DataFrame, target: dict[str, str], approved: dict[str, str], r
     """``table`` with rescued values of newly approved fields moved into typed columns.
 
     A new target field gets a column; an existing column only takes a rescued value
-    where it is null.
+    where it is null, else the value stays rescued.
     """
-    again = ingest(table.withColumn("_rescued_payload", F.coalesce(rescued, F.lit("{}"))).withColumnsRenamed({c: f"_old_{c}" for c in table.columns}), "_rescued_payload", target, approved)
+    filled = {c: F.col(f"_old_{c}") for c in table.columns if c in target}
+    again = ingest(table.withColumn("_rescued_payload", F.coalesce(rescued, F.lit("{}"))).withColumnsRenamed({c: f"_old_{c}" for c in table.columns}), "_rescued_payload", target, approved, filled)
     out = []
     for c in table.columns:
         if c == rescued:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compare import Field, compare_copies
-from ..operators.drift import field_changes, ingest, renamed_to
+from ..operators.drift import field_changes, ingest, renamed_to, replay
 from ..operators.shred import shred_links, shred_tables
 
 # The target table of the result rows and names that its fields are known by; renames add further ones.
@@ -51,7 +51,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "result_rows")
-    return ingest(rows, "payload", RESULT_FIELDS, renamed_to(field_changes(rows), RESULT_FIELDS, RESULT_NAMES))
+    known = ingest(rows, "payload", RESULT_FIELDS, RESULT_NAMES)
+    return replay(known, RESULT_FIELDS, renamed_to(field_changes(rows), RESULT_FIELDS, RESULT_NAMES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

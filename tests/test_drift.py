@@ -76,3 +76,12 @@ def test_rescue_and_replay(spark):
 def test_names_tied_by_renames(spark):
     c = spark.createDataFrame([("renamed", "a", "b"), ("renamed", "b", "bits"), ("added", "z", "bits"), ("renamed", "q", "id"), ("renamed", "q", "on")], "change_kind string, field_name string, detail string")
     assert renamed_to(c, TARGET, {"k": "bits"}) == {"a": "bits", "b": "bits", "k": "bits"}
+
+
+def test_values_that_are_not_taken_stay_rescued(spark):
+    df = spark.createDataFrame([(1, '{"bits": 4, "kbits": 8, "old_bits": 16}')], "row_id long, payload string")
+    out = ingest(df, "payload", {"bits": "double"}, {"kbits": "bits"})
+    r = out.first()
+    assert r["bits"] == 4.0 and json.loads(r["rescued"]) == {"kbits": 8, "old_bits": 16}
+    r = replay(out, {"bits": "double"}, {"kbits": "bits", "old_bits": "bits"}).first()
+    assert r["bits"] == 4.0 and json.loads(r["rescued"]) == {"kbits": 8, "old_bits": 16}
