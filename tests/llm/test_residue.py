@@ -4,10 +4,10 @@ from lodestrata.llm.residue import find_residue, host_boilerplate, line_hash, no
 
 GOOD = "The renderer answered with status 500 twice, so job 874 was queued again and passed."
 FOUND = {
-    "placeholder": ["Dear {{ name }}, the run has finished.", "See [INSERT AUTHOR HERE] for the table.", "The <model_name> of the run was steady.", "Report on ${date} by ${author}", "After 9 %(format)s the value rose.", "The [Your metric] was low.", "The __SCORE__ was high.", "Report on <%= run_id %>."],
-    "filler": ["Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "xxxx xxx xxxxx xx xxxx", "Results: TBD\nSetup: TODO", "Data: ???"],
-    "error": ["404 Not Found", "Access denied. You do not have the rights to open this report.", "Une erreur 502 est survenue. Réessayez plus tard.", "Seite nicht gefunden (Fehler 503).", "ページが見つかりません（エラー502）。", "Traceback: TemplateNotFound: report_9.html", "Your session has expired. Sign in again to see this page."],
-    "script_required": ["Please enable JavaScript to view this page.", "Bitte aktivieren Sie JavaScript, um den Bericht zu sehen.", "このページを表示するにはJavaScriptを有効にしてください。", "<noscript>Your browser does not run scripts; the report cannot be shown.</noscript>"],
+    "placeholder": ["Dear {{ name }}, the run has finished.", "See [INSERT AUTHOR HERE] for the table.", "The <model_name> of the run was steady.", "Report on ${date} by ${author}", "After 9 %(format)s the value rose.", "The [Your metric] was low.", "The __SCORE__ was high.", "Report on <%= run_id %>.", "Dear <first name>, the run has ended.", "Dear ((name)), the run has ended.", "{{#if name}} Hello"],
+    "filler": ["Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "xxxx xxx xxxxx xx xxxx", "Results: TBD\nSetup: TODO", "Data: ???", "Dummy text for the layout. Dummy text for the layout.", "foo bar test asdf blah qwer", "Please replace this paragraph before the release.", "Your text goes here.", "Hier steht später der Text der Notiz.", "Texte à remplacer par le résumé.", "Texto de relleno para la sección.", "Testo segnaposto.", "Insira aqui o resumo.", "Vul hier de samenvatting in.", "ここに本文を入力してください。"],
+    "error": ["404 Not Found", "Access denied. You do not have the rights to open this report.", "Une erreur 502 est survenue. Réessayez plus tard.", "Seite nicht gefunden (Fehler 503).", "ページが見つかりません（エラー502）。", "Traceback: TemplateNotFound: report_9.html", "Your session has expired. Sign in again to see this page.", "We can't find that page. It may have been moved or deleted.", "The site is down for maintenance until 6:00.", "Pagina non trovata (errore 404).", "Si è verificato un errore. Riprova più tardi.", "Página não encontrada.", "Ocorreu um erro. Tente novamente mais tarde.", "Pagina niet gevonden.", "Er is een fout opgetreden. Probeer het later opnieuw.", "We are sorry, but the page that you have requested, which may have been there only a short while ago, could not be found on this server today."],
+    "script_required": ["Please enable JavaScript to view this page.", "Bitte aktivieren Sie JavaScript, um den Bericht zu sehen.", "このページを表示するにはJavaScriptを有効にしてください。", "Abilita JavaScript per vedere questa pagina.", "Ative o JavaScript para ver esta página.", "Schakel JavaScript in om deze pagina te zien.", "<noscript>Your browser does not run scripts; the report cannot be shown.</noscript>"],
 }
 CLEAN = [
     GOOD,
@@ -41,6 +41,15 @@ def test_found_in_long_blocks(kind, size):
     assert residue_kinds(f"{block}\n" + f"{GOOD}\n" * (2 * block.count("\n") + 4)) == []
 
 
+def test_every_dummy_sentence_has_a_piece():
+    """The pieces that gate the pattern of dummy sentences leave none of the examples out."""
+    from lodestrata.llm.residue import _DUMMY, _DUMMY_PIECES
+
+    for said in ("TBD", "to be done", "a placeholder heading for the top", "this is sample text", "text here", "delete these lines", "type it below", "wird noch ergänzt", "hier bitte eintragen", "à venir", "écrivez ici", "por definir", "sustituya este texto", "da completare", "sostituire questo", "a preencher", "digite seu nome", "nog in te vullen", "vervang deze zin", "準備中", "この文章は後で差し替え", "本文が入ります"):
+        assert _DUMMY.fullmatch(said), said
+        assert any(p in f" {said.lower()} " for p in _DUMMY_PIECES), said
+
+
 @pytest.mark.parametrize("text", CLEAN)
 def test_clean(text):
     assert residue_kinds(text) == []
