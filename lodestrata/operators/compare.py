@@ -1,11 +1,12 @@
 """Differences between two copies of a dataset, by hierarchical checksums.
 
 Keys are spread over a tree of key ranges (ranges of the key's 64-bit hash, so a
-frequent part of a key does not make one range heavy).  Each side is reduced to
-one checksum per finest range; coarser ranges are sums of finer ones.  From the
-root down, only the children of ranges whose checksums differ are compared, and
-only the rows of finest ranges that still differ are read again and compared
-field by field.
+frequent part of a key does not make one range heavy).  One scan of either side
+leaves narrow records: keys, hashes of texts, numbers and one checksum term, laid
+out by coarse range.  The coarse ranges' checksums are compared first; a range
+that differs is cut into finer ones, whose checksums are made from its records
+only, and so on.  Records of ranges that agree are not read again, and fields are
+compared only in the finest ranges that differ.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FAN_BITS = 4
+from ..staging import stage
+
+#: Bits by which a differing range is cut finer, and most bits of the coarse ranges that records are laid out by.
+FAN_BITS, COARSE_BITS = 6, 8
 
 
 @F.pandas_udf(T.StringType())
@@ -62,48 +66,115 @@ class Field:
     tolerance: float | None = None
 
 
-def _side(df: DataFrame, keys: dict[str, Column], fields: list[Field]) -> DataFrame:
+def _side(df: DataFrame, keys: dict[str, Column], fields: list[Field], left: bool) -> DataFrame:
+    """Keys, the hash of every text and the value of every number of one side."""
     cols = [c.alias(k) for k, c in keys.items()]
-    vals = [(plain_text(F.col(f.name)) if f.tolerance is None else F.col(f.name).cast("double")).alias(f"v_{i}") for i, f in enumerate(fields)]
-    return df.select(*cols, *vals)
+    vals = [(F.when(F.col(f.name).isNotNull(), F.xxhash64(plain_text(F.col(f.name)))) if f.tolerance is None else F.col(f.name).cast("double")).alias(f"v_{i}") for i, f in enumerate(fields)]
+    return df.select(F.lit(left).alias("is_left"), *cols, *vals)
+
+
+def range_bits(rows: int, rows_per_range: int) -> tuple[int, int]:
+    """(bits of the coarse ranges, bits of the finest ones) for so many rows: the finest hold about ``rows_per_range``."""
+    coarse = 4 if rows < 1 << 22 else COARSE_BITS
+    need = max(0, math.ceil(math.log2(max(rows / rows_per_range, 1))))
+    return coarse, min(40, max(coarse, need))
 
 
-def _checked(side: DataFrame, keys: list[str], fields: list[Field], bits: int) -> DataFrame:
-    """Distinct records with their finest range and checksum term."""
+def laid_out(records: DataFrame, keys: list[str], fields: list[Field], rows: int, coarse: int, bits: int) -> DataFrame:
+    """Distinct records with their coarse (``top``) and finest (``leaf``) range and checksum ``term``, staged with one coarse range a file.
+
+    A coarse range has as many files as its share of the rows asks for, by the term,
+    so a key with many versions is spread too.
+    """
     rounded = [F.col(f"v_{i}") if f.tolerance is None else F.round(F.col(f"v_{i}") / f.tolerance) for i, f in enumerate(fields)]
     present = [F.col(f"v_{i}").isNull() for i in range(len(fields))]
-    leaf = F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits) if bits else F.lit(0).cast("long")
-    return side.withColumn("leaf", leaf).withColumn("term", F.xxhash64(*keys, *rounded, *present))
+    parts = max(1, math.ceil(rows / (1 << coarse) / 1_000_000))
+    own = records.distinct().withColumn("leaf", F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits)).withColumn("term", F.xxhash64(*keys, *rounded, *present))
+    own = own.withColumn("top", F.shiftrightunsigned("leaf", bits - coarse).cast("int"))
+    place = (F.col("top") * parts + F.pmod(F.col("term"), F.lit(parts))).cast("int")
+    return stage(own.repartitionById((1 << coarse) * parts, place), "ranges")
+
+
+def range_checksums(rows: DataFrame, size: int, bits: int) -> DataFrame:
+    """(``range``, ``n_left``, ``sum_left``, ``n_right``, ``sum_right``): both sides' records and checksums of ranges of ``size`` bits.
+
+    Terms of a side are distinct, so their exclusive or is a checksum that does not
+    depend on their order and cannot overflow.
+    """
+    mine = F.col("is_left")
+    return rows.groupBy(F.shiftrightunsigned("leaf", bits - size).alias("range")).agg(
+        F.count_if(mine).alias("n_left"),
+        F.bit_xor(F.when(mine, F.col("term")).otherwise(F.lit(0).cast("long"))).alias("sum_left"),
+        F.count_if(~mine).alias("n_right"),
+        F.bit_xor(F.when(~mine, F.col("term")).otherwise(F.lit(0).cast("long"))).alias("sum_right"),
+    )
 
 
-def _checksums(rows: DataFrame) -> DataFrame:
-    """(leaf, rows, check): distinct terms only, so repeated deliveries of one record do not count."""
-    return rows.select("leaf", "term").distinct().groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.col("term").cast("decimal(38,0)")).alias("check"))
+DIFFER = "n_left <> n_right OR sum_left <> sum_right"
 
 
-def mismatched_ranges(a: DataFrame, b: DataFrame, bits: int) -> DataFrame:
-    """Finest ranges (``leaf``) whose checksums differ, found by descending from the root.
+def compared_ranges(rows: DataFrame, coarse: int, bits: int) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
+    """The levels of the descent, coarse to fine, and the records of the finest ranges that differ.
 
-    a, b: (leaf, n, check) of either side.
+    A level is (bits, ``range_checksums`` of the ranges compared there).  The ids of
+    the coarse ranges that differ (at most 2 ** COARSE_BITS) come to the driver, so
+    that files of the others are not opened again; a finer level only reads what lies
+    in ranges that differ on the level above it.  Where the copies agree there is no
+    finer level and no record.
     """
-    both = a.select("leaf", F.col("n").alias("na"), F.col("check").alias("ca")).join(b.select("leaf", F.col("n").alias("nb"), F.col("check").alias("cb")), "leaf", "full_outer")
-    zero = F.lit(0).cast("decimal(38,0)")
-    both = both.select("leaf", (F.coalesce("na", F.lit(0)) - F.coalesce("nb", F.lit(0))).alias("dn"), (F.coalesce("ca", zero) - F.coalesce("cb", zero)).cast("decimal(38,0)").alias("dc"))
-    # beyond three levels above the leaves, a range covers thousands of leaves and hardly ever agrees
-    levels = list(range(0, bits, FAN_BITS))[-3:]
-    kept = both
-    for level in levels:
-        prefix = F.shiftrightunsigned("leaf", bits - level) if level else F.lit(0).cast("long")
-        differing = kept.groupBy(prefix.alias("prefix")).agg(F.sum(F.abs("dn")).alias("dn"), F.sum(F.abs("dc")).alias("dc")).filter((F.col("dn") != 0) | (F.col("dc") != 0)).select("prefix")
-        kept = kept.withColumn("prefix", prefix).join(differing, "prefix", "left_semi").drop("prefix")
-    return kept.filter((F.col("dn") != 0) | (F.col("dc") != 0)).select("leaf")
-
-
-def _versions(rows: DataFrame, keys: list[str], fields: list[Field], mark: str) -> DataFrame:
-    """Smallest and greatest value, and whether one is null, of every field per key."""
-    aggs = [F.lit(True).alias(mark)]
-    out = rows.groupBy(*keys).agg(*[x for i in range(len(fields)) for x in (F.min(f"v_{i}").alias(f"{mark}lo_{i}"), F.max(f"v_{i}").alias(f"{mark}hi_{i}"), F.max(F.col(f"v_{i}").isNull()).alias(f"{mark}null_{i}"))])
-    return out.select("*", *aggs)
+    levels = [(coarse, range_checksums(rows, coarse, bits))]
+    wrong = sorted(r["range"] for r in levels[0][1].filter(DIFFER).select("range").collect())
+    inside = rows.filter(F.col("top").isin(wrong)) if wrong else rows.limit(0)
+    while wrong and levels[-1][0] < bits:
+        size = min(bits, levels[-1][0] + FAN_BITS)
+        levels.append((size, range_checksums(_within(inside, levels, bits), size, bits)))
+    return levels, _within(inside, levels, bits)
+
+
+def _within(inside: DataFrame, levels: list[tuple[int, DataFrame]], bits: int) -> DataFrame:
+    """The records in ranges that differ on the last of ``levels``; of the coarse ranges only those that differ are left already."""
+    if len(levels) == 1:
+        return inside
+    size, compared = levels[-1]
+    parents = compared.filter(DIFFER).select(F.col("range").alias("parent"))
+    return inside.join(parents, F.shiftrightunsigned("leaf", bits - size) == F.col("parent"), "left_semi")
+
+
+def _same_number(x: Column, y: Column, tolerance: float) -> Column:
+    return x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))
+
+
+def _by_sets(records: DataFrame, keys: list[str], fields: list[Field]) -> DataFrame:
+    """(keys, ``place``): fields of keys with several versions whose sets of values differ.
+
+    A text needs its equal on the other side, a number one within the tolerance.
+    Every value is a row of its own, so no key's versions are collected; numbers are
+    looked up by cells as wide as the tolerance, in the own cell and both next to it.
+    """
+    entries = []
+    for i, f in enumerate(fields):
+        v = F.col(f"v_{i}")
+        if f.tolerance is None:
+            cells = [v] * 3
+            value = F.lit(0.0)
+        else:
+            q = v / f.tolerance if f.tolerance else v
+            cell = F.when(F.abs(q) < 9e15, F.floor(q).cast("double")).otherwise(q) if f.tolerance else v + 0.0
+            cells, value = [F.xxhash64(cell + d) for d in (-1.0, 0.0, 1.0)], v
+        entries.append(F.struct(F.lit(i).alias("place"), v.isNull().alias("none"), *[F.when(v.isNotNull(), c).alias(n) for c, n in zip(cells, ("under", "cell", "over"))], F.when(v.isNotNull(), value).alias("value")))
+    each = records.select("is_left", *keys, F.explode(F.array(*entries)).alias("e")).select("is_left", *keys, "e.*").distinct()
+    tolerances = F.element_at(F.array(*[F.lit(float(f.tolerance or 0.0)) for f in fields]), F.col("x.place") + 1)
+    unmatched = None
+    for left in (True, False):
+        mine, other = each.filter(F.col("is_left") == left).alias("x"), each.filter(F.col("is_left") != left)
+        spans = other.groupBy(*keys, "place", "none", "under", "cell", "over").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        near = spans.select(*keys, "place", "none", "low", "high", F.explode(F.array_distinct(F.array("under", "cell", "over"))).alias("at")).alias("y")
+        on = (F.col("x.place") == F.col("y.place")) & (F.col("x.none") == F.col("y.none")) & F.col("x.cell").eqNullSafe(F.col("y.at")) & (_same_number(F.col("x.value"), F.col("y.low"), tolerances) | _same_number(F.col("x.value"), F.col("y.high"), tolerances))
+        for k in keys:
+            on = on & F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
+        lone = mine.join(near, on, "left_anti").select(*keys, "place")
+        unmatched = lone if unmatched is None else unmatched.unionByName(lone)
+    return unmatched.distinct()
 
 
 def compare_copies(left: DataFrame, right: DataFrame, keys: dict[str, str | None], fields: list[Field], missing_left: str, missing_right: str, rows_per_range: int = 8) -> DataFrame:
@@ -112,30 +183,32 @@ def compare_copies(left: DataFrame, right: DataFrame, keys: dict[str, str | None
     keys: column name to "number" (compared as a zero-padded number) or None (as it
     is); diff_kind is ``missing_right`` for a key only ``left`` has, ``missing_left``
     for one only ``right`` has, or the name of a differing field.  Repeated records
-    of a side count once.  A key with several versions on one side is compared by
-    the smallest and the greatest value of each field.  Null equals only null, in
-    keys as well.  Texts are compared as ``plain_text``, numbers within the
-    field's tolerance.
+    of a side count once.  Of a key with several versions on a side, a field differs
+    where the sets of its values do.  Null equals only null, in keys as well.  Texts
+    are compared as ``plain_text``, by 64-bit hashes, numbers within the field's
+    tolerance.  Empty tables are copies of one another.
     """
     made = {f"k_{n}": number_key(F.col(k)) if how == "number" else F.col(k) for n, (k, how) in enumerate(keys.items())}
     names = list(made)
-    size = max(left.count(), right.count(), 1)
-    bits = min(40, FAN_BITS * max(0, math.ceil(math.log2(max(size / rows_per_range, 1)) / FAN_BITS)))
-    a, b = (_checked(_side(df, made, fields), names, fields, bits) for df in (left, right))
-    ranges = mismatched_ranges(_checksums(a), _checksums(b), bits)
-    la, lb = (_versions(x.join(ranges, "leaf", "left_semi"), names, fields, m) for x, m in ((a, "a"), (b, "b")))
-    on = None
-    for k in names:
-        one = F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
-        on = one if on is None else on & one
-    joined = la.alias("x").join(lb.alias("y"), on, "full_outer")
-    kinds = [F.when(F.col("b").isNull(), F.lit(missing_right)), F.when(F.col("a").isNull(), F.lit(missing_left))]
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    total = left.count() + right.count()
+    coarse, bits = range_bits(total, 2 * rows_per_range)
+    rows = laid_out(_side(left, made, fields, True).unionByName(_side(right, made, fields, False)), names, fields, total, coarse, bits)
+    _, inside = compared_ranges(rows, coarse, bits)
+    mine = F.col("is_left")
+    values = [F.min(F.when(mine == left, F.col(f"v_{i}"))).alias(f"{side}_{i}") for i in range(len(fields)) for side, left in (("l", True), ("r", False))]
+    per_key = stage(inside.groupBy(*names).agg(F.count_if(mine).alias("n_left"), F.count_if(~mine).alias("n_right"), *values), "compared")
+    one = (F.col("n_left") == 1) & (F.col("n_right") == 1)
+    kinds = [F.when(F.col("n_right") == 0, F.lit(missing_right)), F.when(F.col("n_left") == 0, F.lit(missing_left))]
     for i, f in enumerate(fields):
-        same = F.col(f"anull_{i}") == F.col(f"bnull_{i}")
-        for end in ("lo", "hi"):
-            x, y = F.col(f"a{end}_{i}"), F.col(f"b{end}_{i}")
-            same = same & (x.eqNullSafe(y) if f.tolerance is None else x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= f.tolerance, F.lit(False)))
-        kinds.append(F.when(both & ~same, F.lit(f.name)))
-    picked = [F.coalesce(F.col(f"x.{k}"), F.col(f"y.{k}")).alias(own) for k, own in zip(names, keys)]
-    return joined.select(*picked, F.explode(F.array_compact(F.array(*kinds))).alias("diff_kind"))
+        x, y = F.col(f"l_{i}"), F.col(f"r_{i}")
+        kinds.append(F.when(one & ~(x.eqNullSafe(y) if f.tolerance is None else _same_number(x, y, f.tolerance)), F.lit(f.name)))
+    found = per_key.select(*names, F.explode(F.array_compact(F.array(*kinds))).alias("diff_kind"))
+    several = per_key.filter("n_left > 0 AND n_right > 0 AND (n_left > 1 OR n_right > 1)").select(*[F.col(k).alias(f"s_{k}") for k in names])
+    if not several.isEmpty():
+        on = None
+        for k in names:
+            same = F.col(k).eqNullSafe(F.col(f"s_{k}"))
+            on = same if on is None else on & same
+        sets = _by_sets(inside.join(several, on, "left_semi"), names, fields)
+        found = found.unionByName(sets.select(*names, F.element_at(F.array(*[F.lit(f.name) for f in fields]), F.col("place") + 1).alias("diff_kind")))
+    return found.select(*[F.col(k).alias(own) for k, own in zip(names, keys)], "diff_kind")

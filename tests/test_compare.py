@@ -55,10 +55,64 @@ def test_clashing_column_names(spark):
     assert [tuple(r) for r in out.collect()] == [(1, "000001", "a")] and out.columns == ["leaf", "term", "diff_kind"]
 
 
-def test_several_versions_compare_by_extremes(spark):
+def test_several_versions_compare_as_sets(spark):
     a = [(1, "1", "a", 0.1), (1, "1", "b", 0.9)]
     assert diff(spark, a, list(reversed(a))) == []
     assert diff(spark, a, [(1, "1", "a", 0.1), (1, "1", "c", 0.9)]) == [(1, "000001", "query")]
+    between = [(1, "1", "a", 0.1), (1, "1", "b", 0.5), (1, "1", "c", 0.9)]
+    assert diff(spark, between, [(1, "1", "a", 0.1), (1, "1", "bb", 0.5), (1, "1", "c", 0.9)]) == [(1, "000001", "query")]
+    assert diff(spark, between, [(1, "1", "a", 0.1), (1, "1", "b", 0.6), (1, "1", "c", 0.9)]) == [(1, "000001", "score")]
+    near = [(1, "1", "a", 0.1 + 4e-7), (1, "1", "b", 0.5 - 9e-7), (1, "1", "c", 0.9), (1, "1", "c", 0.9 + 5e-7)]
+    assert diff(spark, between, near) == [] == diff(spark, near, between)
+    assert diff(spark, [(None, "1", None, None), (None, "1", "a", None)], [(None, "1", "a", None), (None, "1", "a", float("nan"))]) == [(None, "000001", "query"), (None, "000001", "score")]
+    large = [(1, "1", "a", 1e300), (1, "1", "a", float("inf")), (1, "1", "a", -0.0)]
+    assert diff(spark, large, [(1, "1", "a", 1e300), (1, "1", "a", float("inf")), (1, "1", "a", 0.0)]) == []
+    assert diff(spark, large, [(1, "1", "a", 1.1e300), (1, "1", "a", float("inf")), (1, "1", "a", 0.0)]) == [(1, "000001", "score")]
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(*[st.lists(st.tuples(st.integers(0, 2), st.sampled_from([None, "a", "b", "c"]), st.sampled_from([None, 0.0, 4e-7, 1e-6, 2.5e-6])), max_size=12)] * 2)
+def test_versions_against_brute_force(spark, x, y):
+    want = []
+    for k in {r[0] for r in x} | {r[0] for r in y}:
+        a, b = ([r for r in z if r[0] == k] for z in (x, y))
+        if not a or not b:
+            want.append((k, "000007", "missing_left" if b else "missing_right"))
+            continue
+        if {r[1] for r in a} != {r[1] for r in b}:
+            want.append((k, "000007", "query"))
+
+        def partner(v, rows):
+            return any(v is w is None or None not in (v, w) and abs(v - w) <= 1e-6 for w in (r[2] for r in rows))
+
+        if not all(partner(r[2], b) for r in a) or not all(partner(r[2], a) for r in b):
+            want.append((k, "000007", "score"))
+    rows = [[(k, "7", q, s) for k, q, s in z] for z in (x, y)]
+    assert diff(spark, *rows) == sorted(want, key=str)
+
+
+def test_equal_ranges_are_not_read_deeper(spark):
+    from lodestrata.operators.compare import DIFFER, _side, compared_ranges, laid_out
+    from pyspark.sql import functions as F
+
+    left = spark.range(20_000).select(F.col("id").alias("run_id"), F.lit("1").alias("task_id"), F.col("id").cast("string").alias("query"), F.lit(0.5).alias("score"))
+    right = left.withColumn("query", F.when(F.col("run_id") == 77, "other").otherwise(F.col("query")))
+    keys = {"k_0": F.col("run_id")}
+    for other, sizes in ((right, [4, 10, 12]), (left, [4])):
+        rows = laid_out(_side(left, keys, FIELDS, True).unionByName(_side(other, keys, FIELDS, False)), ["k_0"], FIELDS, 40_000, 4, 12)
+        levels, inside = compared_ranges(rows, 4, 12)
+        assert [size for size, _ in levels] == sizes
+        compared = [df.count() for _, df in levels]
+        differ = [df.filter(DIFFER).count() for _, df in levels]
+        if other is left:
+            assert compared == [16] and differ == [0] and inside.count() == 0
+            continue
+        assert differ == [1, 1, 1] and compared[0] == 16 and compared[1] <= 64 and compared[2] <= 4
+        assert 0 < inside.count() < 60
+        top = [r["top"] for r in inside.select("top").distinct().collect()]
+        files = [f for f in rows.inputFiles() if spark.read.parquet(f).filter(F.col("top") == top[0]).count()]
+        assert len(top) == 1 and len(files) == 1 < len(rows.inputFiles())  # the finer levels open one file of all
+        assert f"In(top, [{top[0]}])" in levels[1][1]._jdf.queryExecution().toString() or f"EqualTo(top,{top[0]})" in levels[1][1]._jdf.queryExecution().toString()
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
