@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.llm.leakage import RADIUS, ItemIndex, find_leaks, item_passages, leak_words, simhashes
+from lodestrata.llm.leakage import SCALES, ItemIndex, _scan, find_leaks, item_passages, leak_words, simhashes
 
 RNG = random.Random(5)
 VOCAB = [f"w{i}" for i in range(4000)]
@@ -89,16 +89,37 @@ def test_words():
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.integers(0, 2**32), st.integers(0, 3))
-def test_blocks_find_every_pair_within_the_radius(seed, flips):
+@given(st.integers(0, 2**32), st.integers(0, 12), st.sampled_from(SCALES))
+def test_blocks_find_every_pair_within_the_radius(seed, flips, scale):
     rng = np.random.default_rng(seed)
-    index = ItemIndex([(0, [f"a{k}" for k in range(30)])], 6)
+    index = ItemIndex([(0, [f"a{k}" for k in range(50)])], (scale,)).scales[0]
     probes = index.prints.copy()
     for _ in range(flips):
         probes ^= np.uint64(1) << rng.integers(0, 64, len(probes)).astype(np.uint64)
     i, j = index.near(probes)
     found = set(zip(i.tolist(), j.tolist()))
-    assert found == {(a, b) for a in range(len(probes)) for b in range(len(probes)) if bin(int(probes[a]) ^ int(index.prints[b])).count("1") <= RADIUS}
+    assert len(found) == len(i)
+    assert found == {(a, b) for a in range(len(probes)) for b in range(len(probes)) if bin(int(probes[a]) ^ int(index.prints[b])).count("1") <= scale.radius}
+
+
+def test_recall_by_edited_words():
+    """Of 20 and 40 word pieces with up to two words in 20 replaced, at least 0.9 are found, and item-sized windows alone find as many."""
+    rng = random.Random(3)
+    items = [(i, body(i)) for i in range(len(ITEMS))]
+    both, large = ItemIndex(items), ItemIndex(items, SCALES[:1])
+    for edits in (0, 1, 2):
+        for size in (20, 40):
+            docs = []
+            for n in range(200):
+                k, words = rng.choice(items)
+                at = rng.randrange(len(words) - size + 1)
+                piece = words[at : at + size]
+                for x in rng.sample(range(size), edits * size // 20):
+                    piece[x] = f"new{rng.randrange(10**6)}"
+                docs.append(((n, k), [f"f{rng.randrange(10**6)}" for _ in range(40)] + piece + [f"f{rng.randrange(10**6)}" for _ in range(40)]))
+            for index in (both, large):
+                found = {(doc[0], item) for doc, item, *_ in _scan(index, docs, 15, 0.5)}
+                assert found <= {key for key, _ in docs} and len(found) >= 0.9 * len(docs), (edits, size, len(found))
 
 
 def test_similar_windows_have_near_prints():
