@@ -27,7 +27,7 @@ def _draws(spark: SparkSession, sf_dir: str) -> ProportionalSample:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _draws(spark, sf_dir).report().filter(F.col("gap") > 0).select("draw_id", "category")
+    return _draws(spark, sf_dir).report().filter("gap > 0 AND shortfall > 0").select("draw_id", "category")
 
 
 def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,25 @@ def p1_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _draws(spark, sf_dir).report()
 
 
+def _joint(spark: SparkSession, sf_dir: str) -> ProportionalSample:
+    """One draw per pool by all margins for which the pool has draws, each margin with the targets of its first draw, of the least size."""
+    draws = _t(spark, sf_dir, "sample_draws")
+    firsts = draws.groupBy("pool_id", "category_field").agg(F.min("draw_id").alias("own"), F.min("sample_size").alias("size"))
+    joint = firsts.groupBy("pool_id").agg(F.min("own").alias("draw_id"), F.min("size").alias("sample_size")).withColumn("category_field", F.lit(None).cast("string"))
+    whose = firsts.select("pool_id", "category_field", F.col("own").alias("draw_id")).join(_t(spark, sf_dir, "sample_targets"), "draw_id").drop("draw_id")
+    targets = whose.join(joint.select("pool_id", "draw_id"), "pool_id").drop("pool_id")
+    return ProportionalSample(_t(spark, sf_dir, "allformats_100_category_balanced_seed42"), joint, targets, FIELDS, order="selection_index")
+
+
+def p1_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of one draw per pool over up to three margins at once."""
+    return _joint(spark, sf_dir).report()
+
+
+def p1_margin_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joint(spark, sf_dir).sample()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_defects(_t(spark, sf_dir, "evaluation"), "eval_id")
 
@@ -76,7 +95,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p1_sample, p1_targets, p2_found, p4_found, p4_sources, p7_assignment, p7_fill, p8_found, p9_found)
+    made = (p1_found, p1_sample, p1_targets, p1_margins, p1_margin_sample, p2_found, p4_found, p4_sources, p7_assignment, p7_fill, p8_found, p9_found)
     return {f.__name__: f for f in made}
 
 

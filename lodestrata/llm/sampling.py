@@ -6,7 +6,8 @@ per combination of categories) before anything is collected, so the raking sees
 counts, never rows:
 
 1. iterative proportional fitting scales the cell counts until every margin has
-   its target shares, never beyond what a cell holds;
+   its target shares, never beyond what a cell holds; where margins contradict one
+   another, the cells get the mean of what each margin asks for;
 2. the fitted cell sizes are rounded by largest remainders, and minimums of small
    categories are repaired by swaps with categories that can give rows;
 3. each task gets the key -ln(u)/w with u a hash of (draw, task, seed) and w its
@@ -25,7 +26,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 32
 _SPACE = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
 
@@ -40,11 +40,12 @@ def rake(counts: np.ndarray, codes: np.ndarray, targets: list[dict[int, float]],
 
     codes[c, m] is the category of cell c in margin m (-1: none); targets[m] maps
     categories to wanted rows.  Cells without a wanted category in a margin that
-    has targets for the whole size get nothing.
+    has targets for the whole size get nothing.  Margins that the cells cannot meet
+    together never settle; then no margin wins, the last round's fits are averaged.
     """
     fit = counts * min(1.0, size / max(counts.sum(), 1))
     for _ in range(rounds):
-        before = fit.copy()
+        before, by_margin = fit.copy(), []
         for m, wanted in enumerate(targets):
             for c in np.unique(codes[:, m]):
                 mine = codes[:, m] == c
@@ -63,9 +64,11 @@ def rake(counts: np.ndarray, codes: np.ndarray, targets: list[dict[int, float]],
                         break
                     part[free] *= max(goal - part[~free].sum(), 0) / max(part[free].sum(), 1e-300)
                 fit[mine] = np.minimum(part, counts[mine])
+            by_margin.append(fit.copy())
+        moved = max((np.abs(f - fit).max(initial=0) for f in by_margin), default=0.0)
         if np.abs(fit - before).max(initial=0) < 1e-7:
             break
-    return fit
+    return np.mean(by_margin, axis=0) if targets and moved > 1e-3 else fit
 
 
 def round_and_repair(fit: np.ndarray, counts: np.ndarray, codes: np.ndarray, targets: list[dict[int, float]], least: list[dict[int, int]], size: int) -> np.ndarray:
@@ -112,13 +115,16 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
         least.append({labels[f][r.label]: int(r.min_rows) for r in rows.itertuples() if r.label in labels[f]})
     fit = rake(counts, codes, targets, size) if len(cells) else counts
     quota = round_and_repair(fit, counts, codes, targets, least, size) if len(cells) else counts.astype(np.int64)
-    out = [(draw, list(c), int(q), float(max(f, 1e-9) / max(n, 1)), None, None, None, None, None, None) for c, q, f, n in zip(cells["cell"], quota, fit, counts)]
+    out = [(draw, list(c), int(q), float(max(f, 1e-9) / max(n, 1)), None, None, None, None, None, None, None, None) for c, q, f, n in zip(cells["cell"], quota, fit, counts)]
     for r in want.itertuples():
         m = fields.index(r.field)
         mine = codes[:, m] == labels[r.field].get(r.label, -2)
         need = max(int(r.min_rows), int(round((0.0 if pd.isna(r.share) else float(r.share)) * size)))
-        out.append((draw, None, None, None, r.field, r.category, int(r.holds), need, int(quota[mine].sum()) if len(cells) else 0, max(0, need - int(r.holds))))
-    return pd.DataFrame(out, columns=["draw_key", "cell", "quota", "weight", "field", "category", "available", "needed", "sampled", "gap"])
+        got = int(quota[mine].sum()) if len(cells) else 0
+        asked = min((0.0 if pd.isna(r.share) else float(r.share)) * size, counts[mine].sum() if len(cells) else 0.0)
+        contradicted = bool(len(cells)) and fit[mine].sum() < asked - 0.5
+        out.append((draw, None, None, None, r.field, r.category, int(r.holds), need, got, max(0, need - got), max(0, need - int(r.holds)), contradicted))
+    return pd.DataFrame(out, columns=["draw_key", "cell", "quota", "weight", "field", "category", "available", "needed", "sampled", "gap", "shortfall", "contradicted"])
 
 
 class ProportionalSample:
@@ -129,6 +135,7 @@ class ProportionalSample:
         targets: (draw_key, category, target_share, min_rows and, with several margins, category_field)."""
         self.seed, self.kinds = seed, (dict(draws.dtypes)[draw_key], dict(pool.dtypes)[item])
         self.draw_key, self.item = draw_key, item
+        self.parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # set by the size of the data, and so are the parts of a cell
         rows = pool.select(F.col(pool_key).alias("pool_key"), F.col(item).alias("item_key"), (F.col(order) if order else F.lit(0)).alias("place"), *[normal_label(F.col(f)).alias(f"label_{i}") for i, f in enumerate(fields)]).filter(F.col("item_key").isNotNull())
         distinct = rows.groupBy("pool_key", "item_key", *[f"label_{i}" for i in range(len(fields))]).agg(F.min("place").alias("place"))
         asked = draws.select(F.col(draw_key).alias("draw_key"), F.col(pool_key).alias("pool_key"), F.col("category_field").alias("by"), F.col("sample_size").cast("long").alias("size"))
@@ -151,12 +158,17 @@ class ProportionalSample:
         both = mine.select("draw_key", "size", "cell", "available", *[F.lit(None).cast(t).alias(n) for n, t in (("field", "string"), ("category", "string"), ("label", "string"), ("share", "double"), ("min_rows", "long"), ("holds", "long"))]).unionByName(wanted.select("draw_key", "size", F.lit(None).cast("array<string>").alias("cell"), F.lit(None).cast("long").alias("available"), "field", "category", "label", "share", "min_rows", "holds"))
         self.asked = asked
         # the cells are few bytes but each draw takes a while, so they must not be merged into few tasks
-        spread = both.repartition(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), "draw_key")
-        self.plan = spread.groupBy("draw_key").applyInPandas(_plan, f"draw_key {self.kinds[0]}, cell array<string>, quota long, weight double, field string, category string, available long, needed long, sampled long, gap long")
+        spread = both.repartition(self.parts, "draw_key")
+        self.plan = spread.groupBy("draw_key").applyInPandas(_plan, f"draw_key {self.kinds[0]}, cell array<string>, quota long, weight double, field string, category string, available long, needed long, sampled long, gap long, shortfall long, contradicted boolean")
 
     def report(self) -> DataFrame:
-        """Every target: (draw, field, category as written, available, needed, sampled, gap); a gap above 0 is what the pool cannot meet."""
-        return self.plan.filter(F.col("cell").isNull()).select(F.col("draw_key").alias(self.draw_key), "field", "category", "available", "needed", "sampled", "gap")
+        """Every target: (draw, field, category as written, available, needed, sampled, gap, shortfall, contradicted).
+
+        gap is what the sample lacks of the needed rows, shortfall what the whole pool
+        lacks of them; contradicted tells that the pool holds the rows of the target's
+        share, but other margins of the draw do not leave room for them.
+        """
+        return self.plan.filter(F.col("cell").isNull()).select(F.col("draw_key").alias(self.draw_key), "field", "category", "available", "needed", "sampled", "gap", "shortfall", "contradicted")
 
     def sample(self) -> DataFrame:
         """(draw, item, cell) of every sampled task, distinct in a draw.
@@ -168,7 +180,7 @@ class ProportionalSample:
         views = self.asked.join(self.tasks, "pool_key").withColumn("cell", self.cell)
         u = (F.pmod(F.xxhash64(F.lit(self.seed), "draw_key", "item_key"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
         keyed = views.alias("v").join(quotas.alias("q"), (F.col("v.draw_key") == F.col("q.draw_key")) & (F.col("v.cell") == F.col("q.plan_cell"))).select(F.col("v.draw_key").alias("draw_key"), "item_key", "cell", "quota", "weight").select("draw_key", "item_key", "cell", "quota", (-F.log(u) / F.col("weight")).alias("key"))
-        part = Window.partitionBy("draw_key", "cell", F.pmod(F.hash("item_key"), F.lit(SALTS))).orderBy("key", "item_key")
+        part = Window.partitionBy("draw_key", "cell", F.pmod(F.hash("item_key"), F.lit(self.parts))).orderBy("key", "item_key")
         whole = Window.partitionBy("draw_key", "cell").orderBy("key", "item_key")
         best = keyed.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= F.col("quota")).withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= F.col("quota"))
         return best.select(F.col("draw_key").alias(self.draw_key), F.col("item_key").alias(self.item), F.array_join("cell", "=").alias("cell"))

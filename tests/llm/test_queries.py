@@ -35,3 +35,12 @@ def test_samples_meet_what_the_pool_can(spark):
         if not any(r["gap"] for r in mine):
             floors = [r for r in mine if r["sampled"] < min(r["needed"], r["available"])]
             assert not floors or sum(r["needed"] for r in mine) > size
+
+
+def test_joint_margins(spark):
+    report = Q.p1_margins(spark, SMALL).collect()
+    assert max(len({r["field"] for r in report if r["draw_id"] == d}) for d in {r["draw_id"] for r in report}) == 3
+    sample = Q.p1_margin_sample(spark, SMALL).collect()
+    assert sample and len({(r["draw_id"], r["task_id"]) for r in sample}) == len(sample)
+    for r in report:
+        assert r["gap"] == max(0, r["needed"] - r["sampled"]) >= (r["shortfall"] if r["sampled"] <= r["available"] else 0)

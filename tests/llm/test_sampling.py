@@ -59,6 +59,32 @@ def test_two_margins(spark):
     assert shares(s) == {"kind=a=tier=x": 12, "kind=b=tier=y": 8}
 
 
+def test_margins_that_contradict_one_another(spark):
+    pool = [(f"a{i}", "A", "x") for i in range(40)] + [(f"b{i}", "B", "y") for i in range(40)]
+    targets = [(1, "A", 0.8, 1, "kind"), (1, "B", 0.2, 1, "kind"), (1, "x", 0.2, 1, "tier"), (1, "y", 0.8, 1, "tier")]
+    s = make(spark, pool, [(1, 1, None, 40)], targets)
+    assert shares(s) == {"kind=a=tier=x": 20, "kind=b=tier=y": 20}
+    got = {(r["category"], r["needed"], r["sampled"], r["gap"], r["shortfall"], r["contradicted"]) for r in s.report().collect()}
+    assert got == {("A", 32, 20, 12, 0, True), ("B", 8, 20, 0, 0, False), ("x", 8, 20, 0, 0, False), ("y", 32, 20, 12, 0, True)}
+
+
+def test_small_pools_against_all_samples():
+    """On pools of up to 9 rows and two margins, no other sample is much nearer to the targets than the raked one."""
+    rng = np.random.default_rng(4)
+    codes = np.array([[0, 0], [0, 1], [1, 0], [1, 1]])
+    for _ in range(40):
+        counts, size = rng.integers(1, 4, 4).astype(float), 4
+        targets = [{0: a, 1: size - a} for a in map(float, rng.integers(1, 4, 2))]
+        fit = rake(counts, codes, targets, size)
+        quota = round_and_repair(fit, counts, codes, targets, [{}, {}], size)
+
+        def miss(q, targets=targets):
+            return sum(abs(q[codes[:, m] == c].sum() - w) for m, t in enumerate(targets) for c, w in t.items())
+
+        every = [np.array(q) for q in np.ndindex(*(int(c) + 1 for c in counts)) if sum(q) == size]
+        assert (quota <= counts).all() and quota.sum() <= size and miss(quota) <= min(map(miss, every)) + 2
+
+
 def test_raking_meets_margins_where_cells_allow():
     counts = np.array([50.0, 20, 30, 100])
     codes = np.array([[0, 0], [0, 1], [1, 0], [1, 1]])
