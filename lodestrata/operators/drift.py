@@ -1,9 +1,10 @@
 """Semi-structured rows whose fields drift between files: changes, and one consistent table.
 
-``field_changes`` reports what each file of a series adds, removes, renames or
-retypes against the file before it.  ``ingest`` reads every payload into a target
-schema and keeps what does not fit in a rescue column; ``replay`` moves rescued
-values of newly approved fields into typed columns without reading the files again.
+``ingest`` reads every payload into a target schema and keeps what does not fit in
+a rescue column; ``field_changes`` reports, from the typed and the rescued values,
+what each file of a series adds, removes, renames or retypes against the file
+before it; ``replay`` moves rescued values of newly approved fields into typed
+columns without reading the files again.
 """
 
 from __future__ import annotations
@@ -48,32 +49,53 @@ def _tokens(value: Column) -> Column:
     return F.array_distinct(F.concat(words, numbers))
 
 
-def _parsed(rows: DataFrame, series: str, seq: str, payload: str) -> DataFrame:
-    return rows.select(F.col(series).alias("series_key"), F.col(seq).alias("seq_key"), payload_map(F.col(payload)).alias("m"))
+_KINDS = {"string": "string", "boolean": "boolean", "int": "number", "bigint": "number", "double": "number"}
 
 
-def file_fields(rows: DataFrame, series: str, seq: str, payload: str) -> DataFrame:
-    """(series, seq, ``fields``): per file its fields with their kinds.
+def rescued_rows(rows: DataFrame, series: str, seq: str, payload: str, target: dict[str, str] | None = None) -> DataFrame:
+    """``ingest`` of the payloads alone, strict and with the names of null fields, staged: (``series_key``, ``seq_key``, ``c_0`` ... the target's values, ``rescued``, ``null_fields``, ``payload_state``)."""
+    named = rows.select(F.col(series).alias("series_key"), F.col(seq).alias("seq_key"), F.col(payload).alias("p"))
+    table = ingest(named, "p", target or {}, strict=True, keep_nulls=True)
+    plain = [F.col(c).alias(c if c in ("series_key", "seq_key", "rescued", "null_fields", "payload_state") else f"c_{i}") for c, i in zip(table.columns, [-1, -1, *range(len(target or {})), -1, -1, -1])]
+    return stage(table.select(*plain), "rescued")
 
+
+def _rescued_map() -> Column:
+    return F.when(F.col("payload_state") == "complete", F.from_json("rescued", "map<string,variant>"))
+
+
+def file_fields(table: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
+    """(series, seq, ``fields``): per file its fields with their kinds, from ``rescued_rows``.
+
+    A typed value has its column's kind, a rescued one that of its JSON, a null none.
     Partly aggregated before every shuffle; what is kept of a file is bounded by
     its number of fields, whatever its number of rows.
     """
-    each = _parsed(rows, series, seq, payload).select("series_key", "seq_key", F.explode_outer(F.map_entries("m")).alias("e"))
-    fields = each.groupBy("series_key", "seq_key", F.col("e.key").alias("field")).agg(F.array_sort(F.collect_set(json_kind(F.col("e.value")))).alias("kinds"))
+    none = F.lit(None).cast("string")
+    typed = [F.when(F.col(f"c_{i}").isNotNull(), F.struct(F.lit(f).alias("field"), F.lit(_KINDS[kind]).alias("kind"))) for i, (f, kind) in enumerate((target or {}).items())]
+    empty = F.array().cast("array<struct<field:string,kind:string>>")
+    left = F.transform(F.coalesce(F.map_entries(_rescued_map()), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: F.struct(e["key"].alias("field"), json_kind(e["value"]).alias("kind")))
+    nulls = F.transform(F.coalesce("null_fields", F.array().cast("array<string>")), lambda n: F.struct(n.alias("field"), none.alias("kind")))
+    each = table.select("series_key", "seq_key", F.explode_outer(F.concat(F.array_compact(F.array(*typed)) if typed else empty, left, nulls)).alias("e"))
+    fields = each.groupBy("series_key", "seq_key", F.col("e.field").alias("field")).agg(F.array_sort(F.collect_set("e.kind")).alias("kinds"))
     one = F.when(F.col("field").isNotNull(), F.struct("field", "kinds"))
     return fields.groupBy("series_key", "seq_key").agg(F.collect_list(one).alias("fields"))
 
 
-def _value_counts(parsed: DataFrame, steps: DataFrame) -> DataFrame:
-    """(series, ``step``, ``old``, ``field``, ``word``, ``number``, ``n``) of the fields that a file lost (``old``) or won, whatever its rows, one row per value."""
+def _value_counts(table: DataFrame, steps: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
+    """(series, ``step``, ``old``, ``field``, ``word``, ``number``, ``n``) of the fields that a file lost (``old``) or won, whatever its rows, one row per value.
+
+    Values come from the typed columns, or from what was rescued.
+    """
     sides = [
         steps.select("series_key", F.col("before_key").alias("seq_key"), F.col("seq_key").alias("step"), F.lit(True).alias("old"), F.col("gone").alias("names")),
         steps.select("series_key", "seq_key", F.col("seq_key").alias("step"), F.lit(False).alias("old"), F.col("new").alias("names")),
     ]
     wanted = sides[0].unionByName(sides[1]).groupBy(F.col("series_key").alias("s"), F.col("seq_key").alias("q")).agg(F.collect_list(F.struct("step", "old", "names")).alias("uses"))
-    named = parsed.join(wanted, F.col("series_key").eqNullSafe(F.col("s")) & F.col("seq_key").eqNullSafe(F.col("q"))).select("series_key", "m", F.explode("uses").alias("u"))
-    values = named.select("series_key", "u.step", "u.old", F.explode("u.names").alias("field"), "m").withColumn("v", F.try_element_at("m", "field"))
-    tokens = values.filter(json_kind(F.col("v")).isNotNull()).select("series_key", "step", "old", "field", F.explode(_tokens(F.col("v"))).alias("t"))
+    typed = F.create_map(*[x for i, f in enumerate(target or {}) for x in (F.lit(f), F.col(f"c_{i}").cast("string"))]) if target else F.create_map().cast("map<string,string>")
+    named = table.join(wanted, F.col("series_key").eqNullSafe(F.col("s")) & F.col("seq_key").eqNullSafe(F.col("q"))).select("series_key", typed.alias("typed"), _rescued_map().alias("m"), F.explode("uses").alias("u"))
+    values = named.select("series_key", "u.step", "u.old", F.explode("u.names").alias("field"), "typed", "m").withColumn("v", F.coalesce(F.try_element_at("typed", "field"), F.try_element_at("m", "field").cast("string")))
+    tokens = values.filter(F.col("v").isNotNull()).select("series_key", "step", "old", "field", F.explode(_tokens(F.col("v"))).alias("t"))
     return tokens.groupBy("series_key", "step", "old", "field", "t.word", "t.number").agg(F.count("*").alias("n"))
 
 
@@ -176,21 +198,23 @@ def _compare_files(pdf: pd.DataFrame) -> list[tuple]:
     return out
 
 
-def field_changes(rows: DataFrame, series: str = "series_id", seq: str = "file_seq", payload: str = "payload") -> DataFrame:
+def field_changes(rows: DataFrame, series: str = "series_id", seq: str = "file_seq", payload: str = "payload", target: dict[str, str] | None = None) -> DataFrame:
     """(series, seq, ``change_kind``, ``field_name``, ``detail``) of every file against the one with the previous ``seq`` of its series.
 
+    The payloads are ingested once into ``target`` (none: everything is rescued), and
+    all comes from the typed, rescued and null fields, so the target changes no result.
     Null, empty, broken and repeated payloads change nothing; a file without any
-    complete payload has no fields.  detail is the new name or the new kinds.  The
-    values of fields that a file lost or won are read a second time, and only theirs
-    are counted.
+    complete payload has no fields.  detail is the new name or the new kinds.  Of the
+    values only those of fields that a file lost or won are counted.
     """
-    files = file_fields(rows, series, seq, payload)
+    table = rescued_rows(rows, series, seq, payload, target)
+    files = file_fields(table, target)
     order = Window.partitionBy("series_key").orderBy("seq_key")
     before = stage(files.withColumns({"before": F.lag("fields").over(order), "before_key": F.lag("seq_key").over(order)}).filter(F.col("before").isNotNull()), "fields")
     kinds = dict(files.dtypes)
     names = {c: F.transform(c, lambda f: f["field"]) for c in ("before", "fields")}
     steps = before.select("series_key", "seq_key", "before_key", F.array_except(names["before"], names["fields"]).alias("gone"), F.array_except(names["fields"], names["before"]).alias("new")).filter((F.size("gone") > 0) & (F.size("new") > 0))
-    counts = stage(_value_counts(_parsed(rows, series, seq, payload), steps), "values")
+    counts = stage(_value_counts(table, steps, target), "values")
     likely = value_likeness(counts).groupBy(F.col("series_key").alias("l_s"), F.col("step").alias("l_q")).agg(F.collect_list(F.struct("gone", "new", "alike")).alias("pairs"))
     before = before.join(likely, F.col("series_key").eqNullSafe(F.col("l_s")) & F.col("seq_key").eqNullSafe(F.col("l_q")), "left")
 
@@ -202,7 +226,7 @@ def field_changes(rows: DataFrame, series: str = "series_id", seq: str = "file_s
     return out.withColumnsRenamed({"series_key": series, "seq_key": seq})
 
 
-def renamed_to(changes: DataFrame, target: dict[str, str], known: dict[str, str], most_names: int = 10_000) -> dict[str, str]:
+def renamed_to(changes: DataFrame, target: dict[str, str], known: dict[str, str] | None = None, most_names: int = 10_000) -> dict[str, str]:
     """``known`` names of target fields, and those that renames tie to exactly one target field: {name: target field}.
 
     changes: as ``field_changes`` gives them.  Only distinct name pairs reach the
@@ -212,6 +236,7 @@ def renamed_to(changes: DataFrame, target: dict[str, str], known: dict[str, str]
     pairs = changes.filter("change_kind = 'renamed'").select("field_name", "detail").distinct().limit(most_names + 1).collect()
     if len(pairs) > most_names:
         raise ValueError(f"more than {most_names} distinct renames")
+    known = known or {}
     near: dict[str, set[str]] = {}
     for a, b in [*pairs, *known.items()]:
         near.setdefault(a, set()).add(b)
@@ -240,13 +265,20 @@ def _typed(value: Column, kind: str) -> Column:
     return F.when(have.isin("string", "number", "boolean"), F.try_variant_get(value, "$", "string"))
 
 
-def ingest(rows: DataFrame, payload: str, target: dict[str, str], approved: dict[str, str] | None = None, filled: dict[str, Column] | None = None) -> DataFrame:
+def _of_kind(value: Column, kind: str) -> Column:
+    """The value as ``kind`` where its JSON kind is the column's own, else null: "4" is no number, and a fraction no integer."""
+    return F.when(json_kind(value) == _KINDS[kind], _typed(value, kind))
+
+
+def ingest(rows: DataFrame, payload: str, target: dict[str, str], approved: dict[str, str] | None = None, filled: dict[str, Column] | None = None, strict: bool = False, keep_nulls: bool = False) -> DataFrame:
     """``rows`` without ``payload``, plus the target's typed columns, ``rescued`` and ``payload_state``.
 
     target: field to type (string, int, bigint, double, boolean).  approved: further
     field names whose values belong to a target field; of several that fit the first
     is taken.  filled: columns that hold a target field already, where they are not
-    null.  A field that is unknown or not taken, or whose value does not fit, stays in ``rescued`` as JSON, under its own name; a
+    null.  strict: a value must have its column's JSON kind; others are rescued, to be
+    cast by ``replay``.  keep_nulls: the names of fields with a JSON null come as
+    ``null_fields``.  A field that is unknown or not taken, or whose value does not fit, stays in ``rescued`` as JSON, under its own name; a
     payload that is no complete object stays there whole, under ``_payload``.
     payload_state is complete, broken or missing.  A typed column whose name is
     taken gets a numbered one.
@@ -258,7 +290,7 @@ def ingest(rows: DataFrame, payload: str, target: dict[str, str], approved: dict
     keep = [c for c in rows.columns if c != payload]
     typed, fits = [], []
     for field, kind in target.items():
-        values = [_typed(F.try_element_at(m, F.lit(n)), kind) for n in names[field]]
+        values = [(_of_kind if strict else _typed)(F.try_element_at(m, F.lit(n)), kind) for n in names[field]]
         typed.append(F.coalesce(*values).alias(temp_name(keep, field)))
         free = (filled or {}).get(field, F.lit(None)).isNull()
         for n, v in zip(names[field], values):
@@ -275,7 +307,8 @@ def ingest(rows: DataFrame, payload: str, target: dict[str, str], approved: dict
     whole = F.when(F.col(m).isNull() & F.col(payload).isNotNull(), F.to_json(F.create_map(F.lit("_payload"), F.col(payload))))
     rescued = F.coalesce(whole, F.when(F.size(left) > 0, F.to_json(left))).alias(temp_name([*keep, *target], "rescued"))
     state = F.when(F.col(payload).isNull(), "missing").when(F.col(m).isNull(), "broken").otherwise("complete").alias(temp_name([*keep, *target], "payload_state"))
-    return df.select(*keep, *typed, rescued, state)
+    nulls = F.map_keys(F.map_filter(m, lambda k, v: json_kind(v).isNull())).alias(temp_name([*keep, *target], "null_fields"))
+    return df.select(*keep, *typed, rescued, *([nulls] if keep_nulls else []), state)
 
 
 def replay(table: DataFrame, target: dict[str, str], approved: dict[str, str], rescued: str = "rescued") -> DataFrame:

@@ -11,19 +11,11 @@ from ..operators.compare import Field, compare_copies
 from ..operators.drift import field_changes, ingest, renamed_to, replay
 from ..operators.shred import shred_links, shred_tables
 
-# The target table of the result rows and names that its fields are known by; renames add further ones.
+# The target table of the result rows; other names of its fields are found by renames.
 RESULT_FIELDS = {
     "task_id": "string", "input_type": "string", "output_type": "string", "cache_algorithm_revision": "string", "protection_signal_source": "string",
     "protection_budget_model": "string", "key_bits": "double", "value_bits": "double", "residual_length": "double", "official_prompt": "boolean", "final_score": "double",
 }
-RESULT_NAMES = {
-    "cacheAlgorithmRevision": "cache_algorithm_revision", "cache_algorithm_version": "cache_algorithm_revision", "cache_revision": "cache_algorithm_revision", "algo_rev": "cache_algorithm_revision",
-    "protectionSignalSource": "protection_signal_source", "signal_source": "protection_signal_source", "signal_origin": "protection_signal_source", "protect_signal": "protection_signal_source",
-    "protectionBudgetModel": "protection_budget_model", "budget_model": "protection_budget_model", "budget_kind": "protection_budget_model", "budget_accounting": "protection_budget_model",
-    "k_bits": "key_bits", "kbits": "key_bits", "keyBits": "key_bits", "key_precision": "key_bits",
-    "residual_len": "residual_length", "recentWindow": "residual_length", "tail_tokens": "residual_length", "officialPrompt": "official_prompt", "uses_official_prompt": "official_prompt",
-    "finalEvalScore": "final_score", "final_eval_score": "final_score",
-}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,13 +38,30 @@ def _trace_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field_changes(_t(spark, sf_dir, "result_rows")).drop("detail")
+    return field_changes(_t(spark, sf_dir, "result_rows"), target=RESULT_FIELDS).drop("detail")
+
+
+def p6_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result rows under the target's own names, values of another kind and other fields rescued."""
+    return ingest(_t(spark, sf_dir, "result_rows"), "payload", RESULT_FIELDS, strict=True).select("row_id", *RESULT_FIELDS, "payload_state")
 
 
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One consistent table: ingested, then the rescued values replayed under the names that renames tie to the target."""
     rows = _t(spark, sf_dir, "result_rows")
-    known = ingest(rows, "payload", RESULT_FIELDS, RESULT_NAMES)
-    return replay(known, RESULT_FIELDS, renamed_to(field_changes(rows), RESULT_FIELDS, RESULT_NAMES))
+    known = ingest(rows, "payload", RESULT_FIELDS, strict=True)
+    return replay(known, RESULT_FIELDS, renamed_to(field_changes(rows, target=RESULT_FIELDS), RESULT_FIELDS))
+
+
+def p6_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target field: values that the first ingestion took, and values after the replay of what it rescued."""
+    rows = _t(spark, sf_dir, "result_rows")
+    out = None
+    for step, table in (("ingested", ingest(rows, "payload", RESULT_FIELDS, strict=True)), ("replayed", p6_table(spark, sf_dir))):
+        counts = table.agg(*[F.count(f).alias(f) for f in RESULT_FIELDS])
+        one = counts.select(F.lit(step).alias("step"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("filled")) for f in RESULT_FIELDS])).alias("e")).select("step", "e.*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -64,7 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_frozen_ids": _trace_table("task_traces.frozen_token_ids"),
         "p5_top_tokens": _trace_table("task_traces.positions.top_tokens"),
         "p6_found": p6_found,
+        "p6_ingest": p6_ingest,
         "p6_table": p6_table,
+        "p6_replay": p6_replay,
     }
 
 
@@ -80,7 +91,15 @@ def oracle_sql() -> dict[str, str]:
     tasks = f"SELECT trace_id, {_E} FROM traces"
     links = "CAST(i AS INTEGER) AS ord_1, CAST(j AS INTEGER) AS ord_2"
     positions = "SELECT trace_id, i, unnest(t.positions) AS p, unnest(range(len(t.positions))) AS j FROM x"
+    at = "json_extract(p, '$.{f}')"
+    taken = {
+        "string": f"CASE WHEN json_type({at}) = 'VARCHAR' THEN json_extract_string(p, '$.{{f}}') END AS {{f}}",
+        "double": f"CASE WHEN json_type({at}) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST({at} AS DOUBLE) END AS {{f}}",
+        "boolean": f"CASE WHEN json_type({at}) = 'BOOLEAN' THEN CAST({at} AS BOOLEAN) END AS {{f}}",
+    }
+    columns = ", ".join(taken[kind].format(f=f) for f, kind in RESULT_FIELDS.items())
     return {
+        "p6_ingest": f"SELECT row_id, {columns}, CASE WHEN payload IS NULL THEN 'missing' WHEN p IS NULL THEN 'broken' ELSE 'complete' END AS payload_state FROM (SELECT row_id, payload, CASE WHEN json_valid(payload) AND trim(payload) LIKE '{{%' THEN CAST(payload AS JSON) END AS p FROM result_rows)",
         "p3_found": f"WITH a AS ({a}), b AS ({b}), j AS (SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.task_id, b.task_id) AS task_id, a.run_id IS NULL AS na, b.run_id IS NULL AS nb, a.query IS DISTINCT FROM b.query AS dq, a.generation_protocol IS DISTINCT FROM b.generation_protocol AS dp, NOT (coalesce(abs(a.final_eval_score - b.final_eval_score) <= 1e-6, false) OR (a.final_eval_score IS NULL AND b.final_eval_score IS NULL)) AS ds FROM a FULL JOIN b ON a.run_id = b.run_id AND a.task_id = b.task_id) "
         "SELECT DISTINCT * FROM (SELECT run_id, task_id, 'missing_in_copy' AS diff_kind FROM j WHERE nb UNION ALL SELECT run_id, task_id, 'missing_in_evaluation' FROM j WHERE na UNION ALL SELECT run_id, task_id, 'query' FROM j WHERE dq AND NOT na AND NOT nb UNION ALL SELECT run_id, task_id, 'generation_protocol' FROM j WHERE dp AND NOT na AND NOT nb UNION ALL SELECT run_id, task_id, 'final_eval_score' FROM j WHERE ds AND NOT na AND NOT nb)",
         "p5_found": f"WITH x AS ({tasks}), y AS ({positions}), f AS (SELECT trace_id, i, unnest(t.frozen_token_ids) AS p, unnest(range(len(t.frozen_token_ids))) AS j FROM x), z AS (SELECT trace_id, i, j, unnest(p.top_tokens) AS k, unnest(range(len(p.top_tokens))) AS l FROM y) "

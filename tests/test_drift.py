@@ -11,7 +11,10 @@ def rows(spark, files, series=1):
 
 
 def changes(spark, *files):
-    return sorted((r["file_seq"], r["change_kind"], r["field_name"]) for r in field_changes(rows(spark, files)).collect())
+    """The changes; a target schema, whatever it takes from the payloads, must not alter them."""
+    found = [sorted((r["file_seq"], r["change_kind"], r["field_name"]) for r in field_changes(rows(spark, files), target=t).collect()) for t in (None, {"id": "string", "bits": "double", "x": "int", "gone": "boolean", "score": "double"})]
+    assert found[0] == found[1]
+    return found[0]
 
 
 def many(**fields):
@@ -73,6 +76,16 @@ def test_rescue_and_replay(spark):
     assert again[0]["more_text"] == "x" and again[0]["bits"] == 4.0 and json.loads(again[0]["rescued"]) == {"more": {"k": [1]}}
 
 
+def test_strict_ingestion_rescues_other_kinds_and_replay_casts_them(spark):
+    df = spark.createDataFrame([(1, '{"id": 7, "bits": "4", "on": true, "none": null}'), (2, '{"id": "a", "bits": 4, "on": "true"}')], "row_id long, payload string")
+    out = ingest(df, "payload", TARGET, strict=True, keep_nulls=True)
+    a, b = out.orderBy("row_id").collect()
+    assert (a["id"], a["bits"], a["on"], a["null_fields"]) == (None, None, True, ["none"]) and json.loads(a["rescued"]) == {"id": 7, "bits": "4"}
+    assert (b["id"], b["bits"], b["on"], b["null_fields"]) == ("a", 4.0, None, []) and json.loads(b["rescued"]) == {"on": "true"}
+    a, b = replay(out, {"id": "string", "bits": "double", "on": "boolean"}, {}).orderBy("row_id").collect()
+    assert (a["id"], a["bits"], b["on"], a["rescued"], b["rescued"]) == ("7", 4.0, True, None, None)
+
+
 def test_names_tied_by_renames(spark):
     c = spark.createDataFrame([("renamed", "a", "b"), ("renamed", "b", "bits"), ("added", "z", "bits"), ("renamed", "q", "id"), ("renamed", "q", "on")], "change_kind string, field_name string, detail string")
     assert renamed_to(c, TARGET, {"k": "bits"}) == {"a": "bits", "b": "bits", "k": "bits"}
