@@ -32,7 +32,7 @@ _TOML_HEAD = re.compile(r"^\s*\[{1,2}[^\[\]]+\]{1,2}\s*$")
 _TOML_PAIR = re.compile(r"^\s*(\"(?:[^\"\\]|\\.)*\"|'[^']*'|[\w.-]+)\s*=\s*(\S.*)$")
 _YAML_PAIR = re.compile(r"^(\s*)(- +)?(\"(?:[^\"\\]|\\.)*\"|'[^']*'|[^\s:#\"'][^:#]*?):(?: +(\S.*))?\s*$")
 _YAML_FIRST = re.compile(r"^\s*- +(\"[^\"]*\"|'[^']*'|[^\s:#][^:#,.]*):( |$)|^\s*(\"[^\"]*\"|[\w.-]+):( +\S+.*)?\s*$")
-_VALUE_DONE = re.compile(r"\d{4}-\d\d-\d\d|true|false|null|[A-Z]{2}\d{3}", re.I)
+_VALUE_DONE = re.compile(r"\d{4}-\d\d-\d\d|true|false|null", re.I)
 
 
 def visible(text: str | None) -> str:
@@ -192,14 +192,33 @@ def _quotes_closed(value: str, doubled: bool = False) -> bool:
     return True
 
 
-def _open_end(value: str) -> bool:
-    """True where an unquoted last value could be the beginning of a longer one."""
+_UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-z]"), re.compile(r"[a-z]"), re.compile(r"\d")
+
+
+def _form(value: str) -> str:
+    """The form of a code: letters as A or a, digits as 9; empty for a value that is not made of both."""
+    if not _DIGIT.search(value) or not (_UPPER.search(value) or _LOWER.search(value)) or " " in value:
+        return ""
+    return _DIGIT.sub("9", _LOWER.sub("a", _UPPER.sub("A", value)))
+
+
+def _code_form(earlier: list[str]) -> str:
+    """The one form that all earlier values of a field share, or nothing."""
+    forms = {_form(e) for e in earlier}
+    return forms.pop() if len(forms) == 1 else ""
+
+
+def _open_end(value: str, earlier: list[str]) -> bool:
+    """True where an unquoted last value could be the beginning of a longer one: it is no date or constant, and no code of the form that the field's earlier values share."""
     v = value.strip()
-    return not (v[-1:] in "\"'" and len(v) > 1 or _VALUE_DONE.fullmatch(v))
+    if v[-1:] in "\"'" and len(v) > 1 or _VALUE_DONE.fullmatch(v):
+        return False
+    form = _code_form(earlier)
+    return not form or _form(v) != form
 
 
 _BEGUN_WORD = re.compile(r"t|tr|tru|f|fa|fal|fals|nu|nul|\d{4}-\d?\d?-?\d?")
-_SHAPES = tuple(map(re.compile, (r"true|false", r"\d{4}-\d\d-\d\d", r"[A-Z]{2,4}\d{2,5}", r"-?\d+\.\d+")))
+_SHAPES = tuple(map(re.compile, (r"true|false", r"\d{4}-\d\d-\d\d", r"-?\d+\.\d+")))
 
 
 def _unlike(value: str, earlier: list[str]) -> bool:
@@ -214,6 +233,9 @@ def _unlike(value: str, earlier: list[str]) -> bool:
     for shape in _SHAPES:
         if not shape.fullmatch(v) and all(shape.fullmatch(e) for e in earlier):
             return True
+    form = _code_form(earlier)
+    if form and len(v) < len(form) and form.startswith(_form(v) or _UPPER.sub("A", _LOWER.sub("a", v))):
+        return True
     if v.isalpha() and v.islower() and len(v) < 4 and all(e.isalpha() and e.islower() and len(e) >= 4 or " " in e for e in earlier):
         return True
     return any(e != v and e.startswith(v) and not v[0].isdigit() for e in earlier)
@@ -287,12 +309,12 @@ def _keyed(lines: list[str], out: Answer, yaml: bool) -> bool:
         if not records or not full:
             out.complete, out.reason = False, "unfinished_record"
         else:
-            out.complete, out.last_open = True, not out.prose and _open_end(last_value)
+            earlier = [v for k, v in zip(out.keys[:-1], out.values[:-1]) if k == out.keys[-1]]
+            out.complete, out.last_open = True, not out.prose and _open_end(last_value, earlier)
             if last_value.strip() in ("", "]", ":"):
                 out.complete, out.reason = False, "unfinished_record"
             elif out.last_open and not out.terminated:
-                last = out.keys[-1]
-                if _unlike(last_value, [v for k, v in zip(out.keys[:-1], out.values[:-1]) if k == last]):
+                if _unlike(last_value, earlier):
                     out.complete, out.reason = False, "unfinished_value"
     before = "\n".join(lines[:first])
     if before.strip():
@@ -357,10 +379,11 @@ def _csv(lines: list[str], out: Answer) -> bool:
         if not rows:
             out.complete, out.reason = False, "unfinished_record"
         else:
-            out.complete, out.last_open = True, not out.prose and _open_end(last)
+            earlier = out.values[want - 1 : -1 : want] if len(out.values) == rows * want else []
+            out.complete, out.last_open = True, not out.prose and _open_end(last, earlier)
             if not last.strip():
                 out.complete, out.reason = False, "unfinished_record"
-            elif out.last_open and not out.terminated and _unlike(last, out.values[want - 1 : -1 : want] if len(out.values) == rows * want else []):
+            elif out.last_open and not out.terminated and _unlike(last, earlier):
                 out.complete, out.reason = False, "unfinished_value"
     before = "\n".join(lines[:first])
     if before.strip():
@@ -413,14 +436,14 @@ def read_answer(text: str | None, notation: str | None) -> Answer:
     return out
 
 
-_COUNT = re.compile(r"(?<![\w.,-])(\d{1,3})(?![\w-]|[.,]\d)|(\d{1,3})(?=[件個つ行項])")
+_COUNT = re.compile(r"(?<![\w.,-])(\d{1,9})(?![\w-]|[.,]\d)|(\d{1,9})(?=[件個つ行項])")
 _FIELD_LIST = re.compile(r"(?:\w+, )+\w+")
 
 
 def requested(query: str | None, source: str | None) -> tuple[int, set[str]]:
     """(least records, field names) a query asks for; (0, empty) where it doesn't say.
 
-    The count is the first small number of the instruction line; where the query
+    The count is the first number of the instruction line that stands alone; where the query
     carries its own data, it is the number of records in that data.
     """
     line, _, rest = (query or "").partition("\n")

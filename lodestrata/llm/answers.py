@@ -82,7 +82,7 @@ def _spoken(query: str) -> frozenset[str]:
     else:
         spoken = votes(query)
     most = max(spoken.values(), default=0)
-    return frozenset({k for k, v in spoken.items() if v >= 0.3 * most and v >= 0.8} | asked_for(lines[0] + "\n" + lines[-1])) if most else frozenset()
+    return frozenset({k for k, v in spoken.items() if v >= 0.45 * most and v >= 0.8} | asked_for(lines[0] + "\n" + lines[-1])) if most else frozenset()
 
 
 _requested = lru_cache(4096)(requested)
@@ -154,10 +154,11 @@ _OTHER_SCRIPT = re.compile("[\u0370-\u1dff\u2c00-\ua71f\uac00-\ud7ff\uf900-\ufaf
 
 
 def _prose_only(a: Answer) -> str | None:
-    """The text of an answer without data, or with nothing but one message in place of it."""
+    """The text of an answer without data, or with nothing but one message in place of it: whole, or cut within its only value."""
     if a.complete is None:
         return "\n".join(a.prose)
-    if a.records <= 1 and len(a.values) <= 3 and len(set(a.keys)) <= 3:
+    most = 3 if a.complete else 1
+    if a.records <= 1 and len(a.values) <= most and len(set(a.keys)) <= most:
         return "\n".join([*a.prose, *a.values])
     return None
 

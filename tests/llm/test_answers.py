@@ -1,7 +1,7 @@
 import pytest
 
 from lodestrata.llm.answer_structure import read_answer, requested, visible
-from lodestrata.llm.answers import answer_defects, is_copy, truncated_answers, truncation_by_source
+from lodestrata.llm.answers import PROFILE, answer_defects, is_copy, profile, truncated_answers, truncation_by_source
 from lodestrata.llm.languages import asked_for, leading, votes
 
 QUERY = "Describe 2 ferry records in {}. Use exactly these fields: code, level, remark.\nReturn only the code."
@@ -123,3 +123,29 @@ def test_token_counts_decide_in_every_script(spark):
     whole = [(q, t, o, s, n * 3 // 4, src) for q, t, o, s, n, src in whole]
     got = [r["eval_id"] for r in truncated_answers(frame(spark, [*closed, *cut, *whole]), "eval_id").filter("truncated").collect()]
     assert sorted(got) == [10, 11]
+
+
+def test_a_message_inside_cut_data_is_no_refusal():
+    cut = 'Here:\n{"shops": [{"code": "A1", "remark": "Sorry, we cannot accept the crates on Fri'
+    assert profile("Write JSON for 3 shops with code, remark.", cut, "JSON", "Text", None, None)[0] is False
+    whole = '{"note": "Sorry, I cannot write this."}'
+    names = [c.split()[0] for c in PROFILE.split(", ")]
+    assert dict(zip(names, profile("Write JSON for 3 shops with code, remark.", whole, "JSON", "Text", None, None)))["refusal"]
+
+
+def test_languages_of_texts_with_other_subjects():
+    """Texts about subjects that no word list knows, by their function words alone."""
+    said = {
+        "en": "the comet was so bright that nobody could see any of those stars until it had gone below the horizon",
+        "de": "der komet war so hell dass man keinen von diesen sternen sehen konnte bis er unter dem horizont war",
+        "fr": "la comète était si brillante que personne ne voyait plus aucune de ces étoiles avant son départ",
+        "es": "el cometa era tan brillante que nadie podía ver ninguna de estas estrellas hasta que se fue",
+        "pt": "o cometa era tão brilhante que ninguém via nenhuma dessas estrelas até ele se pôr",
+        "it": "la cometa era così luminosa che nessuno vedeva più quelle stelle prima che essa fosse sotto l'orizzonte",
+        "nl": "de komeet was zo helder dat niemand nog een van die sterren kon zien voordat hij onder was",
+        "sv": "kometen var så ljus att ingen kunde se några av de andra stjärnorna innan den hade gått ned",
+        "pl": "kometa była tak jasna że nikt nie widział już tych gwiazd przed jej zachodem",
+        "ja": "彗星はとても明るかったので星は見えませんでした",
+    }
+    for lang, text in said.items():
+        assert leading(votes(text)) == lang, (lang, votes(text).most_common(3))
