@@ -112,8 +112,9 @@ def packed_bytes(elements: Column, bits: int, group_size: int, scale_bytes: int
 
 def top_with_margin(scores: Column, ids: Column, k: int) -> Column:
     """struct(top, margin): the k best (score, id) and the lead of the first over the second; ties go to the greater id."""
-    ranked = F.slice(F.sort_array(F.arrays_zip(scores.alias("score"), ids.alias("id")), asc=False), 1, k)
-    return F.struct(ranked.alias("top"), F.when(F.size(ranked) >= 2, ranked[0]["0"] - ranked[1]["0"]).alias("margin"))
+    pairs = F.zip_with(scores, ids, lambda s, i: F.struct(s.alias("score"), i.alias("id")))
+    ranked = F.slice(F.sort_array(pairs, asc=False), 1, k)
+    return F.struct(ranked.alias("top"), F.when(F.size(ranked) >= 2, ranked[0]["score"] - ranked[1]["score"]).alias("margin"))
 
 
 def log_softmax(scores: Column) -> Column:

@@ -122,6 +122,19 @@ def readable_bytes(size: Column) -> Column:
     return F.format_string("%.1f %s", size.cast("double") / F.pow(F.lit(1024.0), power), F.element_at(F.array(*map(F.lit, units)), power + 1))
 
 
+#: The settings that make up a configuration, in the order of its key.
+CONFIGURATION = (
+    "bits", "key_bits", "value_bits", "cache_quantization_mode", "cache_algorithm_revision", "residual_length", "kv_group_size", "quantize_block_size", "structure_token_protection", "protection_signal_source", "protection_target", "protected_bits",
+    "target_average_bits", "protection_budget_model", "protection_budget_order", "official_prompt", "official_extraction", "stop_on_end_code", "loop_ngram_size", "loop_repeat_threshold", "output_type", "structeval_manifest", "structeval_manifest_source_sha256",
+)
+
+
+def full_configuration(columns: list[str], defaults: dict[str, object] | None = None) -> Column:
+    """The key of all settings of ``CONFIGURATION``: the column where there is one, else the setting's default, else null."""
+    defaults = defaults or {}
+    return configuration_key(*[setting_text(F.lit(c in columns), F.col(c) if c in columns else F.lit(None).cast("string"), F.lit(defaults.get(c))) for c in CONFIGURATION])
+
+
 def filters(output_type: str | None = None, categories: list[str] | None = None, rendered: bool | None = None) -> list[Column]:
     """Pushable predicates of a task selection; an argument that is None selects all."""
     out = []
@@ -244,20 +257,26 @@ def identifier_parts(text: Column) -> Column:
     return F.array_distinct(F.concat(parts, F.when(F.length(whole) >= 2, F.array(whole)).otherwise(F.array().cast("array<string>"))))
 
 
-#: What names a field in XML, JSON and TOML (keys, tables).
-VISIBLE_NAMES = (r"</?([A-Za-z_][\w.-]*+)", r"\"([A-Za-z_][\w .-]*+)\"[ \t]*+:", r"(?m)^[ \t]*+([A-Za-z_][\w.-]*+)[ \t]*+=", r"(?m)^[ \t]*+\[++([A-Za-z_][\w.-]*+)\]")
-_CSV_HEAD = r"^[ \t]*+[A-Za-z_][\w ]*+,[\w ,]*+$"
+#: What names a field in a prompt: XML tags, JSON keys, TOML keys and TOML tables.
+VISIBLE_NAMES = (r"</?([A-Za-z_][A-Za-z0-9_-]*)\b", r"\"([A-Za-z_][A-Za-z0-9_.-]*)\"\s*:", r"(?md)^\s*([A-Za-z_][A-Za-z0-9_.-]*(?:\[[0-9*]+\])?)\s*=", r"(?md)^\s*\[\[?\s*([A-Za-z_][A-Za-z0-9_.-]*)\s*\]\]?")
+#: Fixed value: a line of names parted by commas, without blanks.
+_CSV_HEAD = r"^[A-Za-z_][A-Za-z0-9_.\[\]-]*(?:,[^\S ]*[A-Za-z_][A-Za-z0-9_.\[\]-]*[^\S ]*)+$"
 
 
 def visible_terms(prompt: Column) -> Column:
-    """Sorted identifier parts of the field names that a prompt shows, in its code blocks if it has some."""
+    """Sorted identifier parts of the field names that a prompt shows, in its code blocks if it has some; null shows none."""
     p = F.coalesce(prompt, F.lit(""))
-    closed = F.substring(p, 1, _last_instr(p, "</code>") + len("</code>") - 1)  # what an open tag behind it would scan in vain
-    blocks = F.regexp_extract_all(F.when(F.contains(p, F.lit("</code>")), closed).otherwise(""), F.lit(r"(?s)<code>(.*?)</code>"), F.lit(1))
-    scope = F.when(F.size(blocks) > 0, F.array_join(blocks, "\n")).otherwise(p)
-    names = [F.regexp_extract_all(scope, F.lit(x), F.lit(1)) for x in VISIBLE_NAMES]
-    heads = F.flatten(F.transform(F.filter(F.split(scope, r"\r?\n"), lambda x: x.rlike(_CSV_HEAD)), lambda x: F.split(F.trim(x), r" *, *")))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.concat(*names, heads), identifier_parts))))
+    closing = F.lower(p)
+    closed = F.substring(p, 1, _last_instr(closing, "</code>") + len("</code>") - 1)  # what an open tag behind it would scan in vain
+    blocks = F.regexp_extract_all(F.when(F.contains(closing, F.lit("</code>")), closed).otherwise(""), F.lit(r"(?is)<code>(.*?)</code>"), F.lit(1))
+    scopes = F.when(F.size(blocks) > 0, blocks).otherwise(F.array(p))
+
+    def names(scope: Column) -> Column:
+        found = [F.regexp_extract_all(scope, F.lit(x), F.lit(1)) for x in VISIBLE_NAMES]
+        heads = F.filter(F.transform(F.split(scope, r"\r?\n"), stripped), lambda x: x.rlike(_CSV_HEAD))
+        return F.concat(*found, F.flatten(F.transform(heads, lambda x: F.transform(F.split(x, ","), stripped))))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten(F.transform(scopes, names)), identifier_parts))))
 
 
 def path_terms(path: Column) -> Column:
@@ -280,6 +299,13 @@ def fuzzy_hit(piece: Column, terms: Column) -> Column:
     return let(bare, lambda p: (F.length(p) >= 2) & F.exists(terms, lambda t: F.contains(p, t) | F.contains(t, p)))
 
 
+def fuzzy_score(piece: Column, terms: Column) -> Column:
+    """The greatest weight of the terms (structs of ``term`` and ``weight``) that a normalised piece equals, holds or lies within; 0 for none."""
+    bare = F.lower(F.regexp_replace(F.coalesce(piece, F.lit("")), r"[^A-Za-z0-9_]+", ""))
+    hit = lambda p: F.filter(terms, lambda t: F.contains(p, t["term"]) | F.contains(t["term"], p))
+    return let(bare, lambda p: F.when(F.length(p) >= 2, F.coalesce(F.array_max(F.transform(hit(p), lambda t: t["weight"])), F.lit(0.0))).otherwise(0.0))
+
+
 def token_kind(token: Column) -> Column:
     """empty, whitespace, structural_marker, control_marker or content, tested in this order."""
     return F.when(F.coalesce(token, F.lit("")) == "", "empty").when(token.rlike(r"^\s+$"), "whitespace").when(token.rlike(r"[{}\[\]:,<>/=\"]"), "structural_marker").when(token.rlike(r"<\||\|>|BEGIN_CODE|END_CODE"), "control_marker").otherwise("content")
@@ -291,6 +317,22 @@ def structure_score(token: Column, terms: Column | None = None, control: float =
     return (base.when(fuzzy_hit(token, terms), term) if terms is not None else base).otherwise(0.0)
 
 
+#: What is protected in each mode.
+PROTECTION_MODES = ("none", "markers", "json-syntax", "json-constraints")
+
+
+def protected_token(token: Column, mode: str, terms: Column | None = None) -> Column:
+    """Whether a token is protected: in no mode but ``none`` are control markers left out; json-syntax adds JSON marks, json-constraints the visible terms too."""
+    if mode not in PROTECTION_MODES:
+        raise ValueError(f"unknown protection mode {mode}")
+    kept = token.rlike(r"BEGIN_CODE|END_CODE|<\||\|>")
+    if mode in ("json-syntax", "json-constraints"):
+        kept = kept | token.rlike(r"[{}\[\]:,\"]")
+    if mode == "json-constraints" and terms is not None:
+        kept = kept | fuzzy_hit(token, terms)
+    return F.lit(False) if mode == "none" else F.coalesce(kept, F.lit(False))
+
+
 def simple_tokens(text: Column) -> Column:
     """Words, white-space runs and single marks of a text, in order."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]"), F.lit(0))

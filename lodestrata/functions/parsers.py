@@ -8,9 +8,11 @@ run in Python on whole batches.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
 import re
+import subprocess
 import tomllib
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
@@ -20,18 +22,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Error kinds and the message pieces they go by, tested in this order.
-ERROR_KINDS = (
-    ("unterminated_string_or_token", ("unterminated string", "unclosed token")),
-    ("invalid_escape_or_control_character", ("escape", "control character")),
-    ("indentation_or_mapping_syntax", ("mapping values are not allowed", "could not find expected")),
-    ("invalid_key_syntax", ("initial character for a key",)),
-    ("unbalanced_or_mismatched_delimiter", ("mismatched tag", "no element found", "delimiter", "expecting property name")),
-    ("extra_content_or_multiple_roots", ("extra data", "junk after document")),
-    ("invalid_leading_token", ("expecting value: line 1 column 1",)),
-    ("invalid_token", ("invalid token", "not well-formed")),
-    ("invalid_number", ("number",)),
-)
+# Error kinds by what each parser reports: JSON by its message, XML by its error number, YAML and TOML by the beginning of the problem they name.
+_JSON_KINDS = {
+    "Unterminated string starting at": "unterminated_string_or_token",
+    "Invalid \\escape": "invalid_escape_or_control_character",
+    "Invalid \\uXXXX escape": "invalid_escape_or_control_character",
+    "Invalid control character at": "invalid_escape_or_control_character",
+    "Expecting ',' delimiter": "unbalanced_or_mismatched_delimiter",
+    "Expecting ':' delimiter": "unbalanced_or_mismatched_delimiter",
+    "Expecting property name enclosed in double quotes": "unbalanced_or_mismatched_delimiter",
+    "Extra data": "extra_content_or_multiple_roots",
+}
+_XML_KINDS = {
+    3: "unbalanced_or_mismatched_delimiter",
+    4: "invalid_token",
+    5: "unterminated_string_or_token",
+    7: "unbalanced_or_mismatched_delimiter",
+    9: "extra_content_or_multiple_roots",
+    14: "invalid_number",
+}
+_YAML_KINDS = {
+    "mapping values are not allowed": "indentation_or_mapping_syntax",
+    "could not find expected": "indentation_or_mapping_syntax",
+    "found unknown escape": "invalid_escape_or_control_character",
+    "expected escape sequence": "invalid_escape_or_control_character",
+}
+_TOML_KINDS = {
+    "Unterminated string": "unterminated_string_or_token",
+    "Unescaped": "invalid_escape_or_control_character",
+    "Escaped": "invalid_escape_or_control_character",
+    "Invalid initial character for a key": "invalid_key_syntax",
+}
+
+
+def _json_kind(error: Exception) -> str:
+    said = getattr(error, "msg", "")  # an object nested too deeply has none
+    if said == "Expecting value" and error.pos == 0:
+        return "invalid_leading_token"
+    return next((kind for begin, kind in _JSON_KINDS.items() if said.startswith(begin)), OTHER)
+
+
+def _xml_kind(error: Exception) -> str:
+    return _XML_KINDS.get(getattr(error, "code", None), OTHER)
+
+
+def _yaml_kind(error: Exception) -> str:
+    problem = getattr(error, "problem", None) or ""
+    return next((kind for said, kind in _YAML_KINDS.items() if problem.startswith(said)), OTHER)
+
+
+def _toml_kind(error: Exception) -> str:
+    return next((kind for said, kind in _TOML_KINDS.items() if str(error).startswith(said)), OTHER)
+
+
+OTHER = "other_parser_error"
+_KIND_OF = {"JSON": _json_kind, "XML": _xml_kind, "YAML": _yaml_kind, "TOML": _toml_kind}
 
 
 def _yaml(text: str) -> object:
@@ -50,21 +95,27 @@ _PARSERS: dict[str, Callable[[str], object]] = {"JSON": json.loads, "XML": ET.fr
 
 
 def parse_outcome(notation: str | None, code: str | None) -> tuple[str, str]:
-    """(kind, message) of strictly parsing a payload; local_parser_succeeded, unsupported_format and parser_unavailable are kinds too."""
-    parser = _PARSERS.get(notation or "")
-    if parser is None:
+    """(kind, message) of strictly parsing a payload; local_parser_succeeded, unsupported_format and parser_unavailable are kinds too.
+
+    A payload that begins with a written-out line end or tab failed for that reason,
+    whatever its parser says.
+    """
+    if notation not in _PARSERS:
         return "unsupported_format", f"no parser for {notation}"
+    text = code or ""
+    failure = None
     try:
-        parser(code or "")
-    except ImportError:
+        _PARSERS[notation](text)
+    except ModuleNotFoundError:
         return "parser_unavailable", f"no parser for {notation} is installed"
     except Exception as error:  # every parser has its own kinds of errors
-        message = " ".join(str(error).splitlines())
-        if re.match(r"\\[nrt]", code or ""):
-            return "literal_escaped_layout_outside_string", message[:400]
-        low = message.lower()
-        return next((kind for kind, pieces in ERROR_KINDS if any(p in low for p in pieces)), "other_parser_error"), message[:400]
-    return "local_parser_succeeded", ""
+        failure = error
+    if failure is None:
+        return "local_parser_succeeded", ""
+    message = " ".join(str(failure).split("\n"))
+    if text[:2] in ("\\n", "\\r", "\\t"):
+        return "literal_escaped_layout_outside_string", message
+    return _KIND_OF[notation](failure) if notation in _KIND_OF else OTHER, message
 
 
 @F.pandas_udf(_row(kind=_TEXT, message=_TEXT))
@@ -175,18 +226,42 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+def _hashed(document: object, **form: object) -> str | None:
+    try:
+        return hashlib.sha256(json.dumps(json.loads(document), sort_keys=True, **form).encode()).hexdigest()
+    except (TypeError, ValueError):
+        return None
+
+
 @F.pandas_udf(_TEXT)
 def fingerprint(document: pd.Series) -> pd.Series:
     """SHA-256 of JSON with sorted keys and default separators; null where it does not parse."""
-    import hashlib
+    return document.map(_hashed)
 
-    def one(d):
-        try:
-            return hashlib.sha256(json.dumps(json.loads(d), sort_keys=True).encode()).hexdigest()
-        except (TypeError, ValueError):
-            return None
 
-    return document.map(one)
+@F.pandas_udf(_TEXT)
+def compact_fingerprint(document: pd.Series) -> pd.Series:
+    """SHA-256 of JSON with sorted keys and no blanks; null where it does not parse."""
+    return document.map(lambda d: _hashed(d, separators=(",", ":")))
+
+
+def external_scores(df: DataFrame, key: str, text: str, command: list[str], timeout: float = 600.0) -> DataFrame:
+    """(``key``, ``score``): each batch as JSON lines (key, text) through an external program, which answers one JSON line (key, score) per row.
+
+    One process per batch and task, so the cluster's cores are the concurrency; the
+    program runs as given, so a sandbox is part of the command.  A program that
+    fails, stays silent on a row or runs too long is an error.  Null texts are empty.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        for b in batches:
+            lines = "".join(json.dumps({"key": str(k), "text": t or ""}) + "\n" for k, t in zip(b["k"], b["t"]))
+            done = subprocess.run(command, input=lines, capture_output=True, text=True, timeout=timeout, check=True)
+            scores = {r["key"]: float(r["score"]) for r in map(json.loads, done.stdout.splitlines())}
+            yield pd.DataFrame({key: b["k"], "score": [scores[str(k)] for k in b["k"]]})
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"`{key}` {kind}, score double")
 
 
 def scored_by(df: DataFrame, group: str, scorer: Callable[[pd.DataFrame], float], name: str = "score") -> DataFrame:

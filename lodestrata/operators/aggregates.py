@@ -87,6 +87,17 @@ def linear_percentile(value: str, p: float) -> Column:
     return F.coalesce(F.percentile(value, p), F.lit(0.0))
 
 
+def interpolated_percentile(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
+    """Percentile with linear interpolation between the places around (n - 1) p, for groups of any size: no buffer of values is built."""
+    low, high = (_ranked(df, group, value, p, place, "_at") for place in (lambda n: F.floor((n - 1) * F.lit(p)), lambda n: F.ceil((n - 1) * F.lit(p))))
+    sizes = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("_n"))
+    on = [F.col(f"s.{g}").eqNullSafe(F.col(f"{x}.{g}")) for x in ("l", "h") for g in group]
+    joined = sizes.alias("s").join(low.alias("l"), on[: len(group)]).join(high.alias("h"), on[len(group) :])
+    at = (F.col("s._n") - 1) * F.lit(p)
+    between = F.when(F.floor(at) == at, F.col("l._at").cast("double")).otherwise((F.ceil(at) - at) * F.col("l._at") + (at - F.floor(at)) * F.col("h._at"))
+    return joined.select(*[F.col(f"s.{g}").alias(g) for g in group], between.alias(name))
+
+
 def nearest_percentile(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
     """Value at place round((n - 1) p), half to even, found by counting equal values instead of listing them."""
     return _ranked(df, group, value, p, lambda n: F.rint((n - 1) * p), name)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .validate import checked_categories
+
 
 def shuffle_key(seed: int, *parts: str) -> Column:
     """A portable pseudo-random order: md5 of seed and columns."""
@@ -31,6 +33,23 @@ def category_balanced(df: DataFrame, key: str, category: str, stratum: str, per_
     return ordinal(picked.drop("_rn", "_turn"), "selection_index", shuffle_key(seed + 1, key), F.col(key))
 
 
+def complete_categories(df: DataFrame, category: str, wanted: list[str], order: str, seed: int, known: list[str]) -> DataFrame:
+    """Every row of the wanted categories in source order, with ``selection_index``, ``sampling`` and ``seed``; a category without rows is an error.
+
+    The index counts rows of earlier coarse ranges of the order first, so no task
+    numbers all rows.
+    """
+    checked_categories(wanted, known)
+    rows = df.filter(F.col(category).isin(wanted))
+    seen = {r[0] for r in rows.select(category).distinct().collect()}
+    if set(wanted) - seen:
+        raise ValueError(f"no rows of the categories {sorted(set(wanted) - seen)}")
+    part = rows.withColumn("_part", F.floor(F.col(order) / 100_000))
+    sizes = part.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = part.join(sizes.drop("_n"), "_part").withColumn("selection_index", F.col("_offset") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
+    return local.drop("_part", "_offset").withColumns({"sampling": F.lit("category-complete"), "seed": F.lit(seed)})
+
+
 def round_robin(df: DataFrame, category: str, order: str, limit: int) -> DataFrame:
     """The first rows of each category in turn, without shuffling."""
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(category).orderBy(order))).filter(F.col("_rn") <= limit)

@@ -141,3 +141,9 @@ def same_order(df: DataFrame, group: str, key: str, ordinal: str) -> DataFrame:
     no group is sorted; the ordinals must be contiguous (see ``contiguous``).
     """
     return df.groupBy(group).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(F.col(ordinal).cast("long"), key).cast("decimal(38,0)")).cast("string").alias("order_hash"))
+
+
+def assembled(df: DataFrame, parts: dict[str, list[str]], *keys: str) -> DataFrame:
+    """The keys and one struct per part of a result row (run, treatment, outcome, storage); a column that the table lacks is null."""
+    have = set(df.columns)
+    return df.select(*keys, *[F.struct(*[(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in names]).alias(part) for part, names in parts.items()])

@@ -70,3 +70,54 @@ def stratified_interval(deltas: DataFrame, group: list[str], stratum: str, value
     by_stratum = bootstrap_means(deltas, [*group, stratum], value, order, samples, seed)
     means = by_stratum.groupBy(*group, "rep").agg(F.avg("mean").alias("mean"))
     return means.groupBy(*group).agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"))
+
+
+def _at_floor(values: Column, p: float) -> Column:
+    """The element of a sorted array at place floor(p (n - 1)), from 0."""
+    return F.element_at(values, (F.floor((F.size(values) - 1) * F.lit(p)) + 1).cast("int"))
+
+
+def floor_interval(deltas: DataFrame, group: list[str], value: str, order: str, samples: int, seed: int, level: float = 0.95) -> DataFrame:
+    """(group, low, high): the resampled means at the floored places of the sorted list, without interpolation.
+
+    Only the means of a group's resamples (``samples`` numbers) are listed, never its rows.
+    """
+    tail = (1 - level) / 2
+    sorted_means = F.array_sort(F.collect_list("mean"))
+    return bootstrap_means(deltas, group, value, order, samples, seed).groupBy(*group).agg(sorted_means.alias("_m")).select(*group, _at_floor(F.col("_m"), tail).alias("low"), _at_floor(F.col("_m"), 1 - tail).alias("high"))
+
+
+def scheduled_intervals(deltas: DataFrame, conditions: list[str], condition: str, values: list[str], order: str, samples: int, seed: int, step: int = 100) -> DataFrame:
+    """(condition, ``measure``, ``seed``, low, high) of several measures: measure m of condition c, as listed, is drawn with seed + step c + m."""
+    out = None
+    for c, name in enumerate(conditions):
+        rows = deltas.filter(F.col(condition) == name)
+        for m, value in enumerate(values):
+            own = seed + step * c + m
+            one = bootstrap_interval(rows, [condition], value, order, samples, own).select(condition, F.lit(value).alias("measure"), F.lit(own).alias("seed"), "low", "high")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Distribution function of the Poisson distribution of mean 1, at 0, 1, 2 ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217)
+
+
+def weighted_means(deltas: DataFrame, group: list[str], value: str, key: str, samples: int, seed: int) -> DataFrame:
+    """(group, ``rep``, ``mean``): means of ``samples`` resamples, each row weighted by a Poisson number of mean 1 drawn from md5(seed:rep:key).
+
+    Rows are neither numbered nor joined, and are summed where they are read: nothing
+    but one partial sum per task, group and resample is shuffled, whatever the rows.
+    A resample in which a group has no weight is left out.
+    """
+    rows = deltas.filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"), F.col(key).cast("string").alias("_k"))
+    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.coalesce("_k", F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weighed = each.withColumn("_u", u).withColumn("_w", sum((F.col("_u") >= p).cast("int") for p in POISSON))
+    return weighed.groupBy(*group, "rep").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n")).filter("_n > 0").select(*group, "rep", (F.col("_s") / F.col("_n")).alias("mean"))
+
+
+def weighted_interval(deltas: DataFrame, group: list[str], value: str, key: str, samples: int, seed: int, level: float = 0.95) -> DataFrame:
+    """(group, low, high): linearly interpolated bounds of ``weighted_means``; the form for large groups."""
+    tail = (1 - level) / 2
+    return weighted_means(deltas, group, value, key, samples, seed).groupBy(*group).agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"))

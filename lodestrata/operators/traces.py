@@ -48,3 +48,28 @@ def aligned(base: DataFrame, cand: DataFrame) -> DataFrame:
     one = lambda df, s: positions(df).filter(F.col("prediction_index").isNotNull() & F.col("task_id").isNotNull()).groupBy("task_id", "prediction_index").agg(F.min_by(F.struct("target_token_id", "top1_token_id", "target_token_kind"), F.struct("trace_id", "task_ord", "item_ord")).alias(s))
     j = one(base, "b").join(one(cand, "c"), ["task_id", "prediction_index"])
     return j.select("task_id", "prediction_index", F.col("b.target_token_kind").alias("kind"), F.col("b.target_token_id").eqNullSafe(F.col("c.target_token_id")).alias("same_target"), F.col("b.top1_token_id").eqNullSafe(F.col("c.top1_token_id")).alias("same_best"))
+
+
+#: Header and task fields on which two traces must agree.
+HEADER = ("trace_method", "model_name_or_path", "model_revision", "kivi_commit", "seed", "selected_task_ids")
+TASK = ("input_type", "output_type", "prompt_tokens", "frozen_token_ids")
+
+
+def pair_violations(base: DataFrame, cand: DataFrame, key: str) -> DataFrame:
+    """(``key``, ``violation``, ``task_id``): all that forbids comparing two traces position by position, for pairs with the same key.
+
+    Kinds: header_<field>; task_order, where the lists of task ids differ (a repeated
+    id counts at its first place); and, for tasks of both, task_<field> (arrays as a
+    whole, null equals null) and position_count.  Each side must have one trace a key.
+    """
+    b, c = (df.select(F.col(key).alias("k"), F.struct(*HEADER).alias("h"), F.filter(F.coalesce("task_traces", F.array()), lambda t: t.isNotNull()).alias("t")) for df in (base, cand))
+    j = b.alias("b").join(c.alias("c"), "k").select("k", F.col("b.h").alias("bh"), F.col("c.h").alias("ch"), F.col("b.t").alias("bt"), F.col("c.t").alias("ct"))
+    ids = lambda t: F.array_distinct(F.transform(t, lambda x: x["task_id"]))
+    heads = [F.when(~F.col(f"bh.{f}").eqNullSafe(F.col(f"ch.{f}")), F.lit(f"header_{f}")) for f in HEADER] + [F.when(~ids(F.col("bt")).eqNullSafe(ids(F.col("ct"))), F.lit("task_order"))]
+    header = j.select("k", F.explode(F.array_compact(F.array(*heads))).alias("violation"), F.lit(None).cast("string").alias("task_id"))
+    last = lambda t, x: F.element_at(F.filter(t, lambda y: y["task_id"].eqNullSafe(x)), -1)
+    shared = j.select("k", "bt", "ct", F.explode(F.array_intersect(ids(F.col("bt")), ids(F.col("ct")))).alias("id")).select("k", F.col("id").alias("task_id"), last(F.col("bt"), F.col("id")).alias("x"), last(F.col("ct"), F.col("id")).alias("y"))
+    count = lambda t: F.coalesce(F.when(t["positions"].isNotNull(), F.size(t["positions"])), F.lit(0))
+    found = [F.when(~F.col(f"x.{f}").eqNullSafe(F.col(f"y.{f}")), F.lit(f"task_{f}")) for f in TASK] + [F.when(count(F.col("x")) != count(F.col("y")), F.lit("position_count"))]
+    tasks = shared.select("k", F.explode(F.array_compact(F.array(*found))).alias("violation"), "task_id")
+    return header.unionByName(tasks).withColumnRenamed("k", key)

@@ -66,7 +66,7 @@ def parse_failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select("output_type", X.failure_kind(F.col("stop_reason"), F.col("issues"), F.col("code"), F.col("parser.kind")).alias("kind")).groupBy("output_type", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT eval_id, CASE WHEN render_score IS NOT NULL AND key_validation_score IS NOT NULL THEN CAST(printf('%.2f', 0.2::DOUBLE * render_score + 0.8::DOUBLE * key_validation_score) AS DOUBLE) END AS score FROM evaluation WHERE final_eval_score IS NOT NULL")
 def recomputed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final scores recomputed from render and path scores, with exact decimal rounding."""
     e = _t(spark, sf_dir, "evaluation").filter(F.col("final_eval_score").isNotNull())
@@ -128,8 +128,8 @@ def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct words of answers' field names that match a required term; terms are a bounded dimension (the tasks are fixed)."""
     words = _t(spark, sf_dir, "tasks").select(F.explode(C.visible_terms(F.col("query"))).alias("word")).distinct()
     terms = _t(spark, sf_dir, "tasks").select(F.explode("raw_output_metric").alias("p")).select(F.explode(C.path_terms(F.col("p"))).alias("t")).select("t.term").distinct()
-    book = terms.agg(F.array_sort(F.collect_set("term")).alias("terms")).withColumn("one", F.lit(1))
-    return words.withColumn("one", F.lit(1)).join(F.broadcast(book), "one").select("word", C.fuzzy_hit(F.col("word"), F.col("terms")).alias("hit"))
+    book = terms.agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    return words.withColumn("terms", book.scalar()).select("word", C.fuzzy_hit(F.col("word"), F.col("terms")).alias("hit"))
 
 
 @query("SELECT task_id, len(x) AS tokens, CASE WHEN len(x) > 64 THEN 64 ELSE len(x) END AS kept FROM (SELECT task_id, string_split(query, ' ') AS x FROM tasks)")
@@ -220,7 +220,8 @@ def channel_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- traces -----------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH tt AS (SELECT trace_id, run_condition, unnest(task_traces) AS t, unnest(range(len(task_traces))) AS o FROM traces), pp AS (SELECT trace_id, run_condition, o, t.task_id AS task_id, unnest(t.positions) AS p, unnest(range(len(t.positions))) AS i FROM tt), q AS (SELECT *, row_number() OVER (PARTITION BY run_condition, task_id, p.prediction_index ORDER BY trace_id, o, i) AS rn FROM pp WHERE p IS NOT NULL AND p.prediction_index IS NOT NULL AND task_id IS NOT NULL), f AS (SELECT * FROM q WHERE rn = 1)
+ SELECT b.p.target_token_kind AS kind, count(*) AS positions, count(*) FILTER (WHERE b.p.target_token_id IS NOT DISTINCT FROM c.p.target_token_id) AS same_target, count(*) FILTER (WHERE b.p.top1_token_id IS NOT DISTINCT FROM c.p.top1_token_id) AS same_best FROM f b JOIN f c ON b.task_id = c.task_id AND b.p.prediction_index = c.p.prediction_index WHERE b.run_condition = 'fp16' AND c.run_condition = 'q4' GROUP BY 1""")
 def aligned_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of the 4-bit traces with the full-precision ones, by token kind."""
     t = _t(spark, sf_dir, "traces")
@@ -272,7 +273,7 @@ def stateful_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id").agg(*[F.max(c).alias(c) for c in ("appended", "sealed_keys", "sealed_values")])
 
 
-@query()
+@query("""WITH c AS (SELECT item_id, list_filter(string_split(coalesce(text, ''), ''), lambda x: x <> '') AS x FROM heldout_items), v AS (SELECT list_sort(list(DISTINCT ch)) AS v FROM (SELECT unnest(x) AS ch FROM c)) SELECT item_id, len(x) AS size, CAST(list_sum(list_transform(x, lambda ch: list_position(v, ch) - 1)) AS BIGINT) AS total FROM c, v""")
 def character_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as character numbers: size and sum of each vector."""
     v = files.character_ids(_t(spark, sf_dir, "heldout_items"), "item_id", "text")

@@ -203,7 +203,7 @@ def ratio_of_means(spark, sf_dir):
  SELECT round(quantile_cont(v, 0.9), 6) AS linear, max(v) FILTER (WHERE i = CAST(round_even((n - 1) * 0.9, 0) AS BIGINT)) AS nearest, max(v) FILTER (WHERE i = CAST(floor((n - 1) * 0.9) AS BIGINT)) AS floored FROM r""")
 def percentiles_three_ways(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders").withColumn("all_rows", F.lit(1))
-    a = orders.groupBy("all_rows").agg(F.round(G.linear_percentile("o_totalprice", 0.9), 6).alias("linear"))
+    a = G.interpolated_percentile(orders, ["all_rows"], "o_totalprice", 0.9, "linear").withColumn("linear", F.round("linear", 6))
     b = G.nearest_percentile(orders, ["all_rows"], "o_totalprice", 0.9, "nearest")
     return a.join(b, "all_rows").join(G.floor_percentile(orders, ["all_rows"], "o_totalprice", 0.9, "floored"), "all_rows").drop("all_rows")
 
@@ -276,9 +276,9 @@ def most_common_strata(spark, sf_dir):
 @query("""WITH m AS (SELECT pool_id, selection_index, task_id, input_type, output_type FROM allformats_100_category_balanced_seed42), s AS (SELECT * FROM tasks)
  SELECT m.pool_id, m.selection_index, m.task_id, s.ord FROM m JOIN s USING (task_id)""")
 def manifest_join(spark, sf_dir):
-    m, s = _t(spark, sf_dir, "allformats_100_category_balanced_seed42"), _t(spark, sf_dir, "tasks")
-    one = P.latest_per(s, ["task_id"], [F.col("ord").desc()])
-    return m.join(one.select("task_id", "ord"), "task_id").select("pool_id", "selection_index", "task_id", "ord")
+    m = _t(spark, sf_dir, "allformats_100_category_balanced_seed42").select("pool_id", "selection_index", "task_id")
+    joined = P.manifest_rows(_t(spark, sf_dir, "tasks").select("task_id", "ord"), m, "task_id", "selection_index", "ord", agree=())
+    return joined.select(F.col("manifest_pool_id").alias("pool_id"), F.col("manifest_selection_index").alias("selection_index"), F.col("manifest_task_id").alias("task_id"), "ord")
 
 
 @query("SELECT DISTINCT o_custkey AS key FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -369,19 +369,24 @@ def code_extraction_issues(spark, sf_dir):
     return _t(spark, sf_dir, "evaluation").select("eval_id", F.size(C.marker_issues(F.col("text"))).alias("issues"))
 
 
-@query("""SELECT eval_id, md5(CASE WHEN regexp_matches(t, '```[^\\n]*\\n') THEN regexp_replace(regexp_extract(t, '(?s)```[^\\n]*\\n(.*?)(?:```|\\z)', 1), '^\\s+|\\s+$', '', 'g') WHEN contains(t, '<|BEGIN_CODE|>') THEN regexp_replace(regexp_extract(t, '(?s)<\\|BEGIN_CODE\\|>[ \\t]*\\n?(.*?)(?:<\\|END_CODE\\|>|\\z)', 1), '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(t, '^\\s+|\\s+$', '', 'g') END) AS code
- FROM (SELECT eval_id, replace(replace(text, '&lt;', '<'), '&gt;', '>') AS t FROM evaluation WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x{a0}\\x{2000}-\\x{200b}\\x{3000}\\x{feff}]'))""")
-def official_code(spark, sf_dir):
-    e = _t(spark, sf_dir, "evaluation").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\x{a0}\x{2000}-\x{200b}\x{3000}\x{feff}]"))
-    return e.select("eval_id", F.md5(C.official_code(F.col("text"))).alias("code"))
+# Fixed value: white space of every kind, for engines whose own class knows the ASCII ones only.
+_WHITE = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
-@query()
-def official_code_all(spark, sf_dir):
-    """``official_code`` of every text, those with unusual white space too, on which the SQL of ``official_code`` strips otherwise."""
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
+
+
+@query(f"""SELECT eval_id, md5(CASE WHEN regexp_matches(t, '```[^\\n]*\\n') THEN {_strip("regexp_extract(t, '(?s)```[^\\n]*\\n(.*?)(?:```|\\z)', 1)")} WHEN contains(t, '<|BEGIN_CODE|>') THEN {_strip("regexp_extract(t, '(?s)<\\|BEGIN_CODE\\|>[ \\t]*\\n?(.*?)(?:<\\|END_CODE\\|>|\\z)', 1)")} ELSE {_strip("t")} END) AS code
+ FROM (SELECT eval_id, replace(replace(text, '&lt;', '<'), '&gt;', '>') AS t FROM evaluation WHERE text IS NOT NULL)""")
+def official_code(spark, sf_dir):
     return _t(spark, sf_dir, "evaluation").filter(F.col("text").isNotNull()).select("eval_id", F.md5(C.official_code(F.col("text"))).alias("code"))
 
 
+_QUERIES["official_code_all"] = official_code  # its name while ``official_code`` left texts with wide white space out
+_SQL["official_code_all"] = _SQL["official_code"]
+
+
 @query()
 def json_candidates(spark, sf_dir):
     e = _t(spark, sf_dir, "evaluation").filter("output_type = 'JSON'")
@@ -481,28 +486,35 @@ def map_suffix_breakdown(spark, sf_dir):
 # --- flagship ---------------------------------------------------------------------
 
 
+#: Most labels whose centroids each vector is compared with (a few MB of centroids).
+MOST_LABELS = 10_000
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantise vectors at 4 and 2 bits, label each by its nearest label centroid, pair with full precision, and test.
 
-    Centroids are one short array per label: aggregated by dimension, then joined
-    as one row, so that each vector is scored in its own row.
+    Centroids are one short array per label, at most ``MOST_LABELS`` of them: aggregated
+    by dimension, then read as one value, so that each vector is scored in its own row.
     """
     e = _t(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull() & F.col("label").isNotNull())
     dims = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     cents = dims.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
-    book = cents.agg(F.collect_list(F.struct(F.col("label").alias("l"), "c")).alias("book")).withColumn("one", F.lit(1))
+    book = cents.agg(F.collect_list(F.struct(F.col("label").alias("l"), "c")).alias("book"))
 
     def nearest(v):
         dist = lambda x, c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
         return C.let(v, lambda x: F.array_min(F.transform("book", lambda b: F.struct(dist(x, b["c"]).alias("d"), b["l"].alias("l"))))["l"])
 
     full = F.transform("embedding", lambda x: x.cast("double"))
-    rows = e.withColumn("one", F.lit(1)).join(F.broadcast(book), "one")
+    labels = cents.limit(MOST_LABELS + 1).count()
+    if labels > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels to compare each vector with")
+    rows = e.withColumn("book", book.scalar())
     wide = rows.select("vec_id", "label", nearest(full).alias("full"), *[nearest(F.flatten(F.transform(A.affine_blocks(F.col("embedding"), b, 32), A.restored))).alias(f"q{b}") for b in (4, 2)])
     long = wide.select("vec_id", (F.col("full") == F.col("label")).alias("base_ok"), F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), (F.col(f"q{b}") == F.col("label")).alias("ok")) for b in (4, 2)])).alias("c"))
     pairs = long.select("vec_id", "c.bits", "base_ok", F.col("c.ok").alias("cand_ok"), (F.col("c.ok").cast("int") - F.col("base_ok").cast("int")).cast("double").alias("delta"))
     counts = pairs.groupBy("bits").agg(F.count("*").alias("n_rows"), F.count_if(F.col("base_ok") & ~F.col("cand_ok")).alias("lost"), F.count_if(~F.col("base_ok") & F.col("cand_ok")).alias("won"), F.round(F.avg("delta"), 6).alias("mean_delta"))
-    ends = S.bootstrap_interval(pairs, ["bits"], "delta", "vec_id", 200, 42)
+    ends = S.weighted_interval(pairs, ["bits"], "delta", "vec_id", 200, 42)
     return counts.join(ends, "bits").select("bits", "n_rows", "lost", "won", "mean_delta", F.round(S.mcnemar(F.col("lost"), F.col("won")), 9).alias("p_value"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 

@@ -59,6 +59,32 @@ def located_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(F.trim("line") != "").withColumn("parses", F.try_parse_json("line").isNotNull())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def checked_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; a path that is not there has none, and a broken line is an error that names file and line.
+
+    Lines are numbered only after a broken one was found, within its file alone.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    bad = located_lines(spark, path).filter(~F.col("parses")).select("file").first()
+    if bad is None:
+        return json_lines(spark, path, schema)
+    numbered = spark.read.text(bad["file"]).coalesce(1).withColumn("n", F.monotonically_increasing_id() + 1)
+    first = numbered.filter((F.trim("value") != "") & F.try_parse_json("value").isNull()).agg(F.min("n")).first()[0]
+    raise RuntimeError(f"{bad['file']}:{first}: no JSON")
+
+
+def first_records(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(``record``): the first n JSON lines as variants, whatever their shapes; the scan stops after n. Broken lines are null."""
+    return spark.read.text(path).limit(n).select(F.try_parse_json("value").alias("record"))
+
+
 def keys_only(rows: DataFrame, key: str) -> DataFrame:
     """The key column alone (the scan reads no other); a null or empty key is an error."""
     ok = F.col(key).isNotNull() & (F.col(key).cast("string") != "")
@@ -113,9 +139,8 @@ def character_ids(texts: DataFrame, key: str, text: str) -> DataFrame:
     The vocabulary is bounded by the number of characters that exist, not by the data.
     """
     chars = texts.select(F.explode(characters(F.col(text))).alias("c")).distinct()
-    vocab = chars.agg(F.array_sort(F.collect_set("c")).alias("vocab")).withColumn("one", F.lit(1))
-    joined = texts.withColumn("one", F.lit(1)).join(F.broadcast(vocab), "one")
-    return joined.select(key, F.transform(characters(F.col(text)), lambda c: F.array_position("vocab", c).cast("int") - 1).alias("ids"))
+    vocab = chars.agg(F.array_sort(F.collect_set("c")).alias("vocab"))
+    return texts.withColumn("vocab", vocab.scalar()).select(key, F.transform(characters(F.col(text)), lambda c: F.array_position("vocab", c).cast("int") - 1).alias("ids"))
 
 
 def sections(lines: DataFrame, place: str, line: str, mark: str = "__SECTION__") -> DataFrame:

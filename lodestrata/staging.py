@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where unset (tests, one machine), a folder of its own."""
+    """``spark.checkpoint.dir`` of the session; where unset on a single machine (tests), a folder of its own; where unset on a cluster, an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
