@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..staging import stage, temp_name
 
 # A number that stands alone; longer ones are codes and count as words.
@@ -30,15 +31,17 @@ def payload_map(payload: Column) -> Column:
 
 def json_kind(value: Column) -> Column:
     """string, number, boolean, object or array; null for a JSON null."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | (kind == "VOID"), None)
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), "number")
-        .otherwise("string")
-    )
+
+    def named(kind: Column) -> Column:
+        return (
+            F.when(kind.startswith("OBJECT"), "object")
+            .when(kind.startswith("ARRAY"), "array")
+            .when(kind == "BOOLEAN", "boolean")
+            .when(kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), "number")
+            .otherwise("string")
+        )
+
+    return F.when(value.isNotNull() & ~F.is_variant_null(value), let(F.schema_of_variant(value), named))
 
 
 def _tokens(value: Column) -> Column:
@@ -285,29 +288,27 @@ def ingest(rows: DataFrame, payload: str, target: dict[str, str], approved: dict
     """
     approved = approved or {}
     m = temp_name(rows.columns, "payload_fields")
-    df = rows.withColumn(m, payload_map(F.col(payload)))
     names = {f: [f, *[a for a, t in sorted(approved.items()) if t == f]] for f in target}
     keep = [c for c in rows.columns if c != payload]
-    typed, fits = [], []
+    values, typed, takers = [], [], []
     for field, kind in target.items():
-        values = [(_of_kind if strict else _typed)(F.try_element_at(m, F.lit(n)), kind) for n in names[field]]
-        typed.append(F.coalesce(*values).alias(temp_name(keep, field)))
-        free = (filled or {}).get(field, F.lit(None)).isNull()
-        for n, v in zip(names[field], values):
-            fits.append((n, free & v.isNotNull()))
-            free = free & v.isNull()
-
-    def stays(k: Column, v: Column) -> Column:
-        used = F.lit(False)
-        for n, taken in fits:
-            used = used | ((k == n) & taken)
-        return ~used & v.isNotNull() & json_kind(v).isNotNull()
-
-    left = F.map_filter(m, stays)
+        free, own = (filled or {}).get(field, F.lit(None)).isNull(), []
+        for n in names[field]:
+            value = temp_name(rows.columns, f"payload_value_{len(values)}")
+            values.append((_of_kind if strict else _typed)(F.try_element_at(m, F.lit(n)), kind).alias(value))
+            own.append(F.col(value))
+            takers.append(F.when(free & F.col(value).isNotNull(), F.lit(n)))
+            free = free & F.col(value).isNull()
+        typed.append(F.coalesce(*own).alias(temp_name(keep, field)))
+    # names whose value was taken: bound once a row, as the filter below asks for every field
+    taken = temp_name(rows.columns, "payload_taken")
+    df = rows.withColumn(m, payload_map(F.col(payload))).select("*", *values)
+    df = df.withColumn(taken, F.array_compact(F.array(*takers)) if takers else F.array().cast("array<string>"))
+    left = F.map_filter(m, lambda k, v: v.isNotNull() & ~F.is_variant_null(v) & ~F.array_contains(taken, k))
     whole = F.when(F.col(m).isNull() & F.col(payload).isNotNull(), F.to_json(F.create_map(F.lit("_payload"), F.col(payload))))
     rescued = F.coalesce(whole, F.when(F.size(left) > 0, F.to_json(left))).alias(temp_name([*keep, *target], "rescued"))
     state = F.when(F.col(payload).isNull(), "missing").when(F.col(m).isNull(), "broken").otherwise("complete").alias(temp_name([*keep, *target], "payload_state"))
-    nulls = F.map_keys(F.map_filter(m, lambda k, v: json_kind(v).isNull())).alias(temp_name([*keep, *target], "null_fields"))
+    nulls = F.map_keys(F.map_filter(m, lambda k, v: v.isNull() | F.is_variant_null(v))).alias(temp_name([*keep, *target], "null_fields"))
     return df.select(*keep, *typed, rescued, *([nulls] if keep_nulls else []), state)
 
 
