@@ -8,6 +8,7 @@ one row per sequence.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -148,10 +149,14 @@ def full_precision_bytes(recorded: Column, prompt: Column, generated: Column, pr
     return F.coalesce(F.when(recorded > 0, recorded.cast("double")), tokens * size(layers, 28) * size(heads, 4) * size(dim, 128) * 4.0)
 
 
-def budget_per_task(tasks: DataFrame, key: str, prompt: str, paths: str, base: int, high: int, residual: int, mean_bits: float, order: str) -> DataFrame:
-    """Per task: tokens, candidate and protected ones, the share of score protected, and the effective bits under a token budget."""
+def budget_per_task(tasks: DataFrame, key: str, prompt: str, paths: str, base: int, high: int, residual: int, mean_bits: float, order: str, tokenize: Callable[[Column], Column] = simple_tokens) -> DataFrame:
+    """Per task: tokens, candidate and protected ones, the share of score protected, and the effective bits under a token budget.
+
+    tokenize: a text column to an array of token texts; a tokenizer's own goes in as a
+    pandas function.
+    """
     terms = F.flatten(F.transform(F.coalesce(F.col(paths), F.array().cast("array<string>")), path_terms))
-    t = tasks.select(F.col(key), simple_tokens(F.col(prompt)).alias("words"), F.array_distinct(F.transform(terms, lambda x: x["term"])).alias("terms"))
+    t = tasks.select(F.col(key), tokenize(F.col(prompt)).alias("words"), F.array_distinct(F.transform(terms, lambda x: x["term"])).alias("terms"))
     t = t.withColumn("scores", F.transform("words", lambda x: structure_score(x, F.col("terms")))).withColumn("candidates", F.transform("scores", lambda s: s > 0))
     t = t.withColumn("mask", token_budget_mask(F.col("candidates"), F.col("scores"), order, base, high, residual, mean_bits))
     n = F.size("words")

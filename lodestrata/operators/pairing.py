@@ -43,7 +43,7 @@ def pair_violations(base: DataFrame, cand: DataFrame, key: str, fields: tuple[st
 
 
 def strict_pairs(base: DataFrame, cand: DataFrame, key: str, fields: tuple[str, ...] = CONSISTENT, ordinal: str | None = None) -> DataFrame:
-    """``key``, ``base`` and ``cand`` (structs); raises where a violation exists, with up to five of each kind."""
+    """``key``, ``base`` and ``cand`` (structs); raises where a violation exists, naming the first twenty."""
     bad = pair_violations(base, cand, key, fields, ordinal).orderBy("violation", "key_text").limit(20).collect()
     if bad:
         raise ValueError("the sides cannot be paired: " + "; ".join(f"{r['violation']} {r['key_text']}" for r in bad))

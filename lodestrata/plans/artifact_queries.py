@@ -138,6 +138,30 @@ def middle_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("task_id", F.size("x").cast("long").alias("tokens"), F.size(C.middle_cut(F.col("x"), 64)).cast("long").alias("kept"))
 
 
+@query("SELECT task_id, md5(array_to_string(CASE WHEN len(x) > 64 THEN list_concat(x[1:32], x[len(x) - 31:len(x)]) ELSE x END, ' ')) AS kept FROM (SELECT task_id, string_split(query, ' ') AS x FROM tasks)")
+def middle_cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cut in the middle leaves of each query, by hash."""
+    return _t(spark, sf_dir, "tasks").select("task_id", F.md5(F.array_join(C.middle_cut(F.split("query", " "), 64), " ")).alias("kept"))
+
+
+@query("SELECT 'json' AS format, task_id, md5(query) AS query FROM tasks UNION ALL SELECT 'csv', task_id, md5(query) FROM tasks")
+def sink_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of the tasks after a round trip through JSON lines and through CSV, by hash."""
+    t, folder = _t(spark, sf_dir, "tasks").select("task_id", "query"), _folder(spark, "contents")
+    sinks.write_json_lines(t, f"{folder}/json")
+    sinks.write_csv(t, f"{folder}/csv", one_part=False)
+    back = {"json": files.json_lines(spark, f"{folder}/json", "task_id string, query string"), "csv": spark.read.schema("task_id string, query string").csv(f"{folder}/csv", header=True, multiLine=True, escape='"', lineSep="\n")}
+    one = [df.select(F.lit(k).alias("format"), "task_id", F.md5("query").alias("query")) for k, df in back.items()]
+    return one[0].unionByName(one[1])
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding[1:60], lambda v: abs(least(greatest(round_even(v::DOUBLE / sc, 0), -7.0), 7.0) * sc))), 6) AS older_sum FROM (SELECT vec_id, embedding, greatest(list_max(list_transform(embedding, lambda v: abs(v::DOUBLE))), 1e-8) / 7.0 AS sc FROM embeddings)""")
+def residual_older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values before the last four after quantisation, the scale being that of all values."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", A.symmetric_recent(F.col("embedding"), 4, 4).alias("q"))
+    return e.select("vec_id", F.round(F.aggregate(F.slice("q", 1, 60), F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("older_sum"))
+
+
 @query(f"WITH {LATEST} SELECT run_condition, CASE WHEN contains(coalesce(text, ''), '<|END_CODE|>') THEN 'end_code' WHEN stop_reason = 'eos' THEN 'eos' WHEN generated_tokens >= 96 THEN 'max_new_tokens' ELSE 'unknown' END AS reason, count(*) AS n FROM latest GROUP BY 1, 2")
 def stop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop reasons recomputed from text and tokens."""

@@ -65,3 +65,13 @@ def test_budget_report(spark):
     assert s["n_rows"] == 2 and s["p90_tokens"] == a["tokens"]
     assert B.budget_summary(per.limit(0)).count() == 0
     assert B.compression(B.StorageShape(**SHAPE), 4000) > 1
+
+
+def test_own_tokenizer(spark):
+    from lodestrata.operators.budgets import budget_per_task
+
+    df = spark.createDataFrame([(1, "a{b}c", ["x.y"]), (2, None, None)], "id long, prompt string, paths array<string>")
+    args = ("id", "prompt", "paths", 4, 8, 0, 16.0, "score")
+    letters = budget_per_task(df, *args, tokenize=lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), ""), lambda c: c != "")).orderBy("id").collect()
+    assert [r["tokens"] for r in letters] == [5, 0] and letters[0]["n_candidates"] == 2
+    assert budget_per_task(df, *args).orderBy("id").first()["tokens"] == 5
